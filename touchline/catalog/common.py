@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from touchline.functions.geometry import geometry_columns
 from touchline.plans.context import shot_context
+from touchline.plans.staging import stage
 from touchline.sources import projections as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +63,20 @@ def located_shots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return P.event_documents(spark, folder)
+    """Event documents, staged once per session: many queries start from them."""
+    return stage(lambda: P.event_documents(spark, folder), spark, f"documents:{folder}")
 
 
-def context(spark: SparkSession, folder: str, foot_finish: bool = False) -> DataFrame:
+def matches(spark: SparkSession, folder: str) -> DataFrame:
+    return P.document_matches(spark, folder)
+
+
+def fresh_context(spark: SparkSession, folder: str, foot_finish: bool = True) -> DataFrame:
     return shot_context(
-        documents(spark, folder), P.document_matches(spark, folder), foot_finish=foot_finish, tolerance=TEST_TOLERANCE
+        documents(spark, folder), matches(spark, folder), foot_finish=foot_finish, tolerance=TEST_TOLERANCE
     )
+
+
+def context(spark: SparkSession, folder: str) -> DataFrame:
+    """The shot context, staged once per session: the summaries read it as a table."""
+    return stage(lambda: fresh_context(spark, folder), spark, f"context:{folder}")

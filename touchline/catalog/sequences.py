@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from touchline import config as C
 from touchline.catalog import sql as S
-from touchline.catalog.common import TEST_TOLERANCE, context, documents, event_shots, events, register, shots
+from touchline.catalog.common import (
+    TEST_TOLERANCE, context, documents, event_shots, events, fresh_context, register, shots,
+)
 from touchline.functions import labels as L
 from touchline.functions.geometry import geometry_columns
 from touchline.functions.numeric import pressure_proxy
@@ -228,7 +230,7 @@ def chain_asof(spark, folder):
 @register("assist_categories", S.query(S.context(TEST_TOLERANCE), """
 select shot_id, assist_category, pressure_state, foot_finish_group, recipient_zone from cx"""))
 def assist_categories(spark, folder):
-    return context(spark, folder, foot_finish=True).select(
+    return context(spark, folder).select(
         "shot_id", "assist_category", "pressure_state", "foot_finish_group", "recipient_zone"
     )
 
@@ -255,7 +257,7 @@ select shot_id, match_id, team_id, opponent_team_id, xg as statsbomb_xg, goal as
   set_piece_category, set_piece_phase, def_label, shot_distance, shot_angle from cx""",
     ["statsbomb_xg", "shot_distance", "shot_angle"]))
 def shot_context_query(spark, folder):
-    return context(spark, folder).select(
+    return fresh_context(spark, folder, foot_finish=False).select(
         "shot_id", "match_id", "team_id", "opponent_team_id", "statsbomb_xg", "is_goal", "score_diff_at_shot", "score_state",
         "simple_state", "feature_minute_bucket", "minute_bucket_label", "chain_label", "pass_style", "assist_category",
         "pressure_state", "set_piece_category", "set_piece_phase", "def_label", "shot_distance", "shot_angle",

@@ -22,7 +22,8 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on:
                   strict: bool = False, policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
     """Attach the latest right row to every left row.
 
-    ``by`` + ``within`` must be equal on both sides (null never matches); ``by`` alone decides how rows are distributed.
+    ``by`` + ``within`` must be equal on both sides; ``by`` alone decides how rows are distributed. A null key never
+    matches: right rows with one are dropped, left rows with one stay and find nothing.
     Of several right rows with the same key the one with the highest ``right_id`` wins. ``strict`` asks for a strictly
     earlier key. ``gap`` names a column for left key minus right key. With a ``tolerance`` the payload of a match further
     away is nulled while the gap stays.
@@ -37,24 +38,21 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on:
         *keys, F.col(right_on).alias("__k"), F.lit(1 if strict else 0).alias("__side"),
         F.col(right_id).alias("__tie"), body.alias("__payload"),
     )
-    rows = left.where(known).withColumns(
-        {"__k": F.col(left_on), "__side": F.lit(0 if strict else 1), "__tie": F.col(left_id)}
+    columns = left.columns
+    rows = left.select(
+        *columns, F.col(left_on).alias("__k"), F.lit(0 if strict else 1).alias("__side"), F.col(left_id).alias("__tie"),
+        F.lit(True).alias("__left"),
     )
-    stacked = rows.withColumn("__left", F.lit(True)).unionByName(candidates, allowMissingColumns=True)
+    stacked = rows.unionByName(candidates, allowMissingColumns=True)
     matched = (
         OrderedScan(stacked, by, ["__k", "__side", "__tie"], policy)
         .last_seen(_MATCH, F.col("__payload"), within=within)
         .result()
         .where("__left")
     )
-    keyless = left.where(~F.coalesce(known, F.lit(False))).withColumn(
-        _MATCH, F.lit(None).cast(matched.schema[_MATCH].dataType)
-    )
-    columns = left.columns
-    joined = matched.select(*columns, _MATCH).unionByName(keyless.select(*columns, _MATCH))
     distance = F.col(left_on) - F.col(f"{_MATCH}.__key")
     keep = F.lit(True) if tolerance is None else F.coalesce(distance <= F.lit(tolerance), F.lit(False))
     out = [F.when(keep, F.col(f"{_MATCH}.__p_{c}")).alias(f"{prefix}{c}") for c in fields]
     if gap is not None:
         out.append(distance.alias(gap))
-    return joined.select(*columns, *out)
+    return matched.select(*columns, *out)

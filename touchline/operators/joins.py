@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from touchline.operators.blocks import DEFAULT_POLICY, SplitDecision, SplitPolicy, decide, hot_groups
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Ask for a broadcast only after counting: one small job that stops at ``max_rows``. A larger table keeps the join
+    strategy Spark picks from its statistics."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
                 spread: Sequence[str] = (), salts: int = 256,
                 policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:

@@ -15,7 +15,7 @@ from touchline.functions.geometry import geometry_columns
 from touchline.functions.timing import clock_seconds, minute_bucket_closed_left, minute_bucket_closed_right
 from touchline.operators.asof import asof_backward
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy, decide
-from touchline.operators.joins import salted_join
+from touchline.operators.joins import broadcast_if_small, salted_join
 from touchline.operators.normalise import point, shot_rows
 from touchline.operators.sequences import counts_as_goal, dominant_foot, running_score
 
@@ -100,16 +100,17 @@ _PAYLOAD = [
 
 
 def with_triggers(shots: DataFrame, triggers: DataFrame, tolerance: int = C.TRIGGER_TOLERANCE_SECONDS,
-                  role_prefix: bool = False, use_period: bool = False, shooting_teams_only: bool = True,
+                  role_prefix: bool = False, use_period: bool = False, teams: DataFrame | None = None,
                   policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
     """Last trigger before each shot, in the match and in the possession, with labels.
 
     Both look-ups share one ordering by match clock and one exchange. A trigger further away than the tolerance loses its
     fields but keeps its gap. The match-level label has no role prefix unless asked for; the possession label has it.
+    ``teams`` restricts the triggers to those teams.
     """
     by = ["match_id", "period"] if use_period else ["match_id"]
-    if shooting_teams_only:
-        triggers = triggers.join(shots.select("team_id").distinct(), "team_id", "left_semi")
+    if teams is not None:
+        triggers = triggers.join(broadcast_if_small(teams.select("team_id")), "team_id", "left_semi")
     columns = shots.columns
     left = shots.withColumns(
         {
@@ -190,15 +191,15 @@ def with_labels(shots: DataFrame) -> DataFrame:
     )
 
 
-def with_foot_finish(shots: DataFrame, policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
-    """Strong or weak foot against the player's own majority."""
-    feet = dominant_foot(shots, "player_id", "body_part").select("player_id", "preferred_foot")
-    known = shots.where(F.col("player_id").isNotNull())
-    unknown = shots.where(F.col("player_id").isNull()).withColumn("preferred_foot", F.lit(None).cast("string"))
-    joined = salted_join(known, feet, ["player_id"], "left", ["shot_id"], policy=policy).unionByName(unknown)
-    return joined.withColumn("foot_finish_group", L.foot_finish(F.col("body_part"), F.col("preferred_foot"))).drop(
-        "preferred_foot"
-    ).select(*shots.columns, "foot_finish_group")
+def with_foot_finish(shots: DataFrame, feet: DataFrame, policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
+    """Strong or weak foot against the player's own majority. Shots without a player get distinct keys that match nothing."""
+    nobody = -1 - F.pmod(F.xxhash64("shot_id"), F.lit(1_000_003))
+    keyed = shots.withColumn("__player", F.coalesce("player_id", nobody))
+    table = feet.select(F.col("player_id").alias("__player"), "preferred_foot")
+    joined = salted_join(keyed, table, ["__player"], "left", ["shot_id"], policy=policy)
+    return joined.withColumn("foot_finish_group", L.foot_finish(F.col("body_part"), F.col("preferred_foot"))).select(
+        *shots.columns, "foot_finish_group"
+    )
 
 
 def shot_context(raw: DataFrame, matches: DataFrame, foot_finish: bool = True, tolerance: int = C.TRIGGER_TOLERANCE_SECONDS,
@@ -209,9 +210,16 @@ def shot_context(raw: DataFrame, matches: DataFrame, foot_finish: bool = True, t
     shots = scored_shots(raw, matches, shared)
     shots = with_key_pass(shots, key_passes(raw), shared)
     shots = with_chain(shots, raw, shared)
-    shots = with_triggers(shots, trigger_events(raw), tolerance, policy=shared)
+    shooting = raw.where(F.col("type.name") == "Shot").select(F.coalesce("team.id", F.lit(0)).alias("team_id")).distinct()
+    shots = with_triggers(shots, trigger_events(raw), tolerance, teams=shooting, policy=shared)
     shots = with_labels(shots)
-    return with_foot_finish(shots, policy) if foot_finish else shots
+    if not foot_finish:
+        return shots
+    finishes = raw.where(F.col("type.name") == "Shot").select(
+        F.col("player.id").alias("player_id"), F.col("shot.body_part.name").alias("body_part")
+    )
+    by_player = decide(finishes.where(F.col("player_id").isNotNull()), ["player_id"], policy)
+    return with_foot_finish(shots, dominant_foot(finishes, "player_id", "body_part"), by_player)
 
 
 def modelling_dataset(context: DataFrame, matches: DataFrame, competitions: DataFrame | None = None,
