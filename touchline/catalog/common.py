@@ -33,8 +33,9 @@ def register(name: str, oracle: str | None = None):
     return wrap
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles and widen integers, so that both engines print the same values."""
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Round doubles and widen integers, so that both engines print the same values. Nine digits keep clear of the ties that
+    averages of two-decimal inputs have at six."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")

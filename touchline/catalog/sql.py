@@ -222,7 +222,7 @@ lg as (select *, {distance('location_x', 'location_y')} as shot_distance, {angle
   abs(location_y - 40) as centrality from l)"""
 
 
-def query(ctes: str, body: str, doubles: Sequence[str] = (), longs: Sequence[str] = (), digits: int = 6) -> str:
+def query(ctes: str, body: str, doubles: Sequence[str] = (), longs: Sequence[str] = (), digits: int = 9) -> str:
     """WITH ctes body, with the named columns rounded or widened in an outer select."""
     inner = f"with {ctes.strip()}\n{body}" if ctes else body
     parts = [f"round({c}, {digits}) + 0.0 as {c}" for c in doubles] + [f"cast({c} as bigint) as {c}" for c in longs]
