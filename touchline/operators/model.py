@@ -87,6 +87,14 @@ def _spark():
     return SparkSession.getActiveSession()
 
 
+def _filled_moments(rows: int, known: int, mean: float, std: float, fill: float) -> tuple[float, float]:
+    """Mean and population deviation after the missing values take ``fill``; a constant column is left unscaled."""
+    missing = rows - known
+    whole = (known * mean + missing * fill) / rows
+    spread = (known * (std * std + (mean - whole) ** 2) + missing * (fill - whole) ** 2) / rows
+    return whole, spread**0.5 or 1.0
+
+
 def _fit(df: DataFrame, contract: FeatureContract, target: str, c: float, scale: bool = True) -> FittedModel:
     numeric, binary, categorical = contract.numeric, contract.binary, contract.categorical
     rows = df.select(
@@ -95,19 +103,21 @@ def _fit(df: DataFrame, contract: FeatureContract, target: str, c: float, scale:
         *[F.col(n).cast("string").alias(f"__raw_{n}") for n in categorical],
     )
     exprs: list[str] = []
-    mids: Mapping[str, float] = {}
-    if numeric:
-        mids = medians(rows, [f"__raw_{n}" for n in numeric]).first().asDict()
     aggs = [F.count(F.lit(1)).alias("n")]
     for n in numeric:
-        filled = F.coalesce(F.col(f"__raw_{n}"), F.lit(mids[f"__raw_{n}"]))
-        aggs += [F.avg(filled).alias(f"mean_{n}"), F.stddev_pop(filled).alias(f"std_{n}")]
+        raw = F.col(f"__raw_{n}")
+        aggs += [F.count(raw).alias(f"count_{n}"), F.avg(raw).alias(f"mean_{n}"), F.stddev_pop(raw).alias(f"std_{n}")]
     for n in [*binary, *categorical]:
         aggs.append(F.mode(F.col(f"__raw_{n}"), deterministic=True).alias(f"mode_{n}"))
     fitted = rows.agg(*aggs).first().asDict()
+    gaps = [n for n in numeric if fitted[f"count_{n}"] < fitted["n"]]
+    mids = medians(rows, [f"__raw_{n}" for n in gaps]).first().asDict() if gaps else {}
     for n in numeric:
-        mean, std = (fitted[f"mean_{n}"], fitted[f"std_{n}"] or 1.0) if scale else (0.0, 1.0)
-        exprs.append(f"(coalesce(`__raw_{n}`, {mids[f'__raw_{n}']!r}D) - {mean!r}D) / {std!r}D AS `__in_{n}`")
+        fill = mids.get(f"__raw_{n}", 0.0)
+        mean, std = _filled_moments(fitted["n"], fitted[f"count_{n}"], fitted[f"mean_{n}"], fitted[f"std_{n}"], fill)
+        if not scale:
+            mean, std = 0.0, 1.0
+        exprs.append(f"(coalesce(`__raw_{n}`, {fill!r}D) - {mean!r}D) / {std!r}D AS `__in_{n}`")
     for n in binary:
         exprs.append(f"coalesce(`__raw_{n}`, {fitted[f'mode_{n}']!r}D) AS `__in_{n}`")
     for n in categorical:
@@ -131,7 +141,7 @@ def _fit(df: DataFrame, contract: FeatureContract, target: str, c: float, scale:
         LogisticRegression(
             featuresCol="__features", labelCol="__label", probabilityCol="__probability",
             rawPredictionCol="__margin", predictionCol="__class", regParam=1.0 / (c * fitted["n"]),
-            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9,
+            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-7,
         )
     )
     pipeline = Pipeline(stages=stages).fit(rows)
@@ -327,9 +337,9 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str = "is_goal",
     rows = df.select(F.col(target).cast("double").alias("__label"), *[F.col(f).cast("double").alias(f) for f in features])
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip"),
-        GBTClassifier(featuresCol="__features", labelCol="__label", probabilityCol="__probability",
-                      rawPredictionCol="__margin", predictionCol="__class", maxIter=rounds, maxDepth=depth,
-                      stepSize=step, subsamplingRate=0.8, seed=seed),
+        GBTClassifier(featuresCol="__features", labelCol="__label", predictionCol="__class", maxIter=rounds,
+                      maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed)
+        .setProbabilityCol("__probability").setRawPredictionCol("__margin"),
     ]
     return Pipeline(stages=stages).fit(rows)
 
