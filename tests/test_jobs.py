@@ -188,7 +188,7 @@ def _side_frame(spark):
 
 
 def test_first_match_has_no_form(spark):
-    form = R.rolling_form(R.with_against(R.match_sides(_side_frame(spark))))
+    form = R.rolling_form(R.match_sides(_side_frame(spark)))
     first = form.where("match_number = 0")
     assert first.count() > 0 and first.where("att_shots_window_3 is not null").count() == 0
     assert form.where("match_number > 0 and att_shots_window_3 is null").count() == 0
@@ -206,6 +206,9 @@ def test_full_training_path(spark):
     enriched = PL.enrich(dataset, table, PL.bucket_priors(dataset))
     assert enriched.count() == dataset.count()
     assert enriched.where("finishing_bias_multiplier is null or set_piece_multiplier is null").count() == 0
+    folded = MD.assign_folds(dataset, "match_id", 2)
+    clean = PL.enrich_out_of_fold(folded, table, 2)
+    assert clean.count() == dataset.count() and clean.where("assist_quality_multiplier is null").count() == 0
     none = PL.enrich(dataset, None, {})
     assert none.where("pressure_logit <> 0 or concession_bias_multiplier <> 1").count() == 0
     model = MD.fit_contextual(enriched)
@@ -285,6 +288,26 @@ def test_stream_in_parts_equals_batch(spark, tmp_path):
     assert late.count() == late.where("late").count()
 
 
+def test_live_scores_use_static_priors_and_model(spark, tmp_path):
+    from touchline.streaming.live import LiveScorer
+
+    rows = located_shots(spark, SMALL)
+    model = MD.fit_baseline(rows)
+    prior = spark.createDataFrame([(1, 0.3)], "match_id long, finishing_bias_logit double")
+
+    def enrich(shots_):
+        return model.score(shots_.join(prior, "match_id", "left").fillna(0.0, ["finishing_bias_logit"]))
+
+    live = rows.where("shot_distance is not null").selectExpr(
+        "match_id", "team_id", "shot_id as seq", "minute * 60 + second as clock", "'Shot' as type", "is_goal", "shot_distance", "shot_angle"
+    )
+    scorer = LiveScorer(f"{tmp_path}/live", enrich=enrich)
+    scorer.process(live, 0)
+    out = scorer.shots(spark)
+    assert out.count() == live.count() and out.where("cxg_prediction between 0 and 1").count() == live.count()
+    assert out.where("match_id = 1 and finishing_bias_logit <> 0.3").count() == 0
+
+
 # ---- plan shapes ------------------------------------------------------------------------------------------------
 
 

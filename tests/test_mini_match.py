@@ -135,7 +135,10 @@ def test_typed_tables(spark, raw):
     assert N.pressure_rows(raw).first()["duration_seconds"] == 0.5
     players = {r["player_id"]: r["name"] for r in N.player_rows(raw).collect()}
     assert players == {1: "Player name 1", 2: "Player 2"}
-    assert N.backlog(raw, N.event_rows(raw.where("period = 1"))).count() == raw.where("period <> 1").count()
+    todo = N.backlog(raw, N.event_rows(raw.where("period = 1")))
+    assert todo.count() == raw.where("period <> 1").count()
+    assert [r["id"] for r in N.backlog(raw, N.event_rows(raw.where("period = 1")), 100, 1).collect()] == ["r1"]
+    assert N.backlog(raw, N.event_rows(raw.limit(0)), from_match=101).count() == 0
 
 
 def test_schemas_match_the_tables(raw, games):

@@ -210,6 +210,41 @@ def shot_features(spark, folder):
     )
 
 
+@register("event_details_join", S.query(S.N, """
+select 'e' || event_id as event_id, type, case when type = 'Duel' then case when k%2 = 0 then 'Aerial Lost' else 'Tackle' end end as duel_type,
+  case when type = 'Duel' then duel_outcome end as duel_outcome, case when type = 'Block' and k%2 = 0 then 'Deflection' end as block_type,
+  case when type = 'Interception' then case when k%2 = 1 then 'Won' else 'Lost Out' end end as interception_outcome,
+  case when type = 'Pressure' then k*0.1::double end as pressure_duration
+from n where type in ('Pressure', 'Interception', 'Ball Recovery', 'Tackle', 'Block', 'Duel', 'Carry', 'Dribble')""", ["pressure_duration"]))
+def event_details_join(spark, folder):
+    from touchline.config import TRIGGER_TYPES
+
+    raw = documents(spark, folder)
+    rows = N.event_rows(raw).where(F.col("type").isin(TRIGGER_TYPES))
+    return N.events_with_details(rows, N.duel_rows(raw), N.block_rows(raw), N.interception_rows(raw), N.pressure_rows(raw)).select(
+        "event_id", "type", "duel_type", "duel_outcome", "block_type", "interception_outcome", "pressure_duration"
+    )
+
+
+@register("base_shot_scan", S.query(S.context(TEST_TOLERANCE), """
+select shot_id, 'C' || match_id%5 as competition_name, diff as score_diff_at_shot, k%2 = 0 as is_home,
+  case when team_id%10 <> 3 then 'T' || team_id else 'Team ' || team_id end as team_name,
+  case when opponent_team_id%10 <> 3 then 'T' || opponent_team_id else 'Team ' || opponent_team_id end as opponent_name
+from cx where x is not null"""))
+def base_shot_scan(spark, folder):
+    from touchline.plans.context import base_shots
+
+    raw, games = documents(spark, folder), matches(spark, folder)
+    stored = N.shot_rows(raw, games).drop("is_home")
+    features = N.shot_feature_rows(stored, N.event_rows(raw)).select("match_id", "shot_id", "version_tag", "score_diff_at_shot")
+    both = features.unionByName(features.withColumns({"version_tag": F.lit("v0"), "score_diff_at_shot": F.lit(99)}))
+    competitions = games.selectExpr("competition_id", "season_id", "concat('C', competition_id) as competition_name").distinct()
+    teams = raw.select(F.col("team.id").alias("team_id"), F.col("team.name").alias("name")).distinct().where("team_id % 10 <> 3")
+    return base_shots(stored, both, games, competitions, teams).select(
+        "shot_id", "competition_name", "score_diff_at_shot", "is_home", "team_name", "opponent_name"
+    )
+
+
 @register("lineage_counts", S.query(S.N, """
 select 'raw' as "table", count(*) as rows from n union all select 'shots', count(*) from n where type = 'Shot'
 union all select 'passes', count(*) from n where type = 'Pass'"""))
@@ -265,7 +300,7 @@ def scope_semi(spark, folder):
         table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .where(F.col("c_nationkey").isin(2, 3, 5)).select(F.col("o_orderkey").alias("match_id"))
     )
-    return J.scope(shots(spark, folder), allowed, ["match_id"]).select("shot_id")
+    return J.scope(shots(spark, folder), allowed, ["match_id"], ["shot_id"]).select("shot_id")
 
 
 @register("attach_labels", S.query("", """

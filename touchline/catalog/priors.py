@@ -100,7 +100,7 @@ _FORM_COLUMNS = [f"{p}_{m}_window_{w}" for w in C.ROLLING_WINDOWS for p in ("att
 
 
 def _form(spark, folder):
-    return R.rolling_form(R.with_against(R.match_sides(_side_shots(spark, folder))))
+    return R.rolling_form(R.match_sides(_side_shots(spark, folder)))
 
 
 @register("rolling_form", S.query(_FORM, f"select match_id, team_id, match_number, {', '.join(_FORM_COLUMNS)} from form",

@@ -68,12 +68,16 @@ def edge_bin(value: Column, edges: Sequence[float], last_closed: bool = False) -
     ``last_closed``. Comparing with the literal doubles avoids the rounding of an arithmetic bin formula.
     """
     n = len(edges) - 1
-    chain: Column | None = None
-    for i in range(n):
-        upper = value <= F.lit(edges[i + 1]) if last_closed and i == n - 1 else value < F.lit(edges[i + 1])
-        inside = (value >= F.lit(edges[i])) & upper
-        chain = F.when(inside, F.lit(i)) if chain is None else chain.when(inside, F.lit(i))
-    return chain
+    width = (edges[-1] - edges[0]) / n
+    if any(abs(edges[i] - edges[0] - i * width) > 1e-9 * max(1.0, abs(width)) for i in range(n + 1)):
+        raise ValueError("edges must be evenly spaced")
+    # an arithmetic guess lands at most one bin off; the literal edges on both sides settle it
+    table = F.array(*[F.lit(float(e)) for e in edges])
+    guess = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((value - F.lit(edges[0])) / F.lit(width)).cast("int")))
+    settled = guess + F.when(value < table[guess], -1).when(value >= table[guess + 1], 1).otherwise(0)
+    inside = (value >= F.lit(float(edges[0]))) & (value < F.lit(float(edges[-1])))
+    result = F.when(inside, settled)
+    return result.when(value == F.lit(float(edges[-1])), F.lit(n - 1)) if last_closed else result
 
 
 def even_bin(value: Column, low: float, high: float, bins: int, last_closed: bool = True) -> Column:

@@ -59,6 +59,14 @@ def decide(df: DataFrame, by: Sequence[str], policy: SplitPolicy | SplitDecision
     return SplitDecision(width if (top or 0) > width else None)
 
 
+def decide_reduced(rows: DataFrame, reduced: DataFrame, by: Sequence[str],
+                   policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> SplitDecision:
+    """Decision for a table reduced from ``rows`` (say to distinct values). A group cannot be larger than its rows were, so
+    the sizes of the rows, which need no other column, usually settle it; only then is the reduced table counted."""
+    first = decide(rows, by, policy)
+    return first if isinstance(policy, SplitDecision) or first.width is None else decide(reduced, by, policy)
+
+
 def hot_groups(df: DataFrame, by: Sequence[str], width: float) -> DataFrame:
     """Groups with more rows than ``width``: fewer than ``max_blocks`` of them, by the choice of the width."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))

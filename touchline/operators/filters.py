@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline import config as C
+from touchline.operators.joins import salted_join
 
 KEPT = "kept"
 
@@ -47,9 +48,9 @@ def with_first_failure(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return df.withColumn("filter_rule", chain.otherwise(F.lit(KEPT)) if chain is not None else F.lit(KEPT))
 
 
-def with_scope_flag(df: DataFrame, allowed: DataFrame, key: str = "match_id") -> DataFrame:
+def with_scope_flag(df: DataFrame, allowed: DataFrame, key: str = "match_id", spread: str = "shot_id") -> DataFrame:
     flags = allowed.select(key).distinct().withColumn("__in_scope", F.lit(True))
-    return df.join(flags, key, "left").withColumn("__in_scope", F.coalesce("__in_scope", F.lit(False)))
+    return salted_join(df, flags, [key], "left", [spread]).withColumn("__in_scope", F.coalesce("__in_scope", F.lit(False)))
 
 
 def apply_modelling_filters(df: DataFrame, allowed: DataFrame | None = None, key: str = "shot_id",

@@ -76,7 +76,8 @@ def attach_side_prior(shots: DataFrame, priors: DataFrame | None, name: str, opp
 
 def attach_bucket_prior(shots: DataFrame, priors: DataFrame | None, key: Column, key_columns: Sequence[str],
                         name: str) -> DataFrame:
-    """Attach a bucket prior. The table has one row per label combination, so Spark broadcasts it when it fits."""
+    """Attach a bucket prior. The table has one row per label combination; it is broadcast after its size was checked, so a
+    bucket that holds most shots is never shuffled."""
     from touchline.functions.labels import bucket_key
 
     logit, mult, prob = f"{name}_logit", f"{name}_multiplier", f"{name}_modeled_prob"
@@ -90,7 +91,7 @@ def attach_bucket_prior(shots: DataFrame, priors: DataFrame | None, key: Column,
         F.col("odds_multiplier").alias(mult),
         F.col("modeled_prob").alias(prob),
     )
-    joined = shots.withColumn("__bucket", key).join(table, "__bucket", "left").drop("__bucket")
+    joined = shots.withColumn("__bucket", key).join(broadcast_if_small(table), "__bucket", "left").drop("__bucket")
     return joined.fillna({logit: 0.0, mult: 1.0})
 
 
@@ -99,9 +100,10 @@ def insert_if_absent(source: DataFrame, target: DataFrame, keys: Sequence[str])
     return source.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
 
 
-def scope(df: DataFrame, allowed: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Keep rows whose key is allowed; no table means no filter."""
-    return df if allowed is None else df.join(allowed.select(*keys), list(keys), "left_semi")
+def scope(df: DataFrame, allowed: DataFrame | None, keys: Sequence[str], spread: Sequence[str],
+          policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
+    """Keep rows whose key is allowed; no table means no filter. ``spread`` differs between rows of one key."""
+    return df if allowed is None else salted_join(df, allowed.select(*keys), keys, "left_semi", spread, policy=policy)
 
 
 def resolve_model(registry: DataFrame, model_name: str, version: str | None = None, by: str = "version") -> DataFrame:

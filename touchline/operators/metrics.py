@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline import config as C
 from touchline.functions.numeric import clip, edge_bin, linspace
-from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy
+from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy, decide_reduced
 from touchline.operators.filters import evaluation_slices, explode_slices
 from touchline.operators.joins import with_group_row
 from touchline.operators.lift import zero_filled
@@ -55,7 +55,7 @@ def score_table(df: DataFrame, by: Sequence[str], target: str, prediction: str,
         F.coalesce(F.sum(F.when(y == 0, w)), F.lit(0)).alias("neg"),
     )
     return (
-        OrderedScan(counts, by, ["score"], policy)
+        OrderedScan(counts, by, ["score"], decide_reduced(df, counts, by, policy))
         .running_sum("neg_below", F.col("neg"))
         .running_sum("pos_below", F.col("pos"))
         .result()
@@ -167,9 +167,8 @@ def full_metrics(df: DataFrame, by: Sequence[str], target: str = "is_goal", pred
     counts = df.groupBy(*by, F.col(prediction).alias("score")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
-    table = (
-        OrderedScan(counts, by, ["score"], policy).running_sum("neg_below", F.col("neg")).result()
-    )
+    decision = decide_reduced(df, counts, by, policy)
+    table = OrderedScan(counts, by, ["score"], decision).running_sum("neg_below", F.col("neg")).result()
     p, n = F.col("score"), F.col("pos") + F.col("neg")
     bounded = clip(p, LOSS_EPS, 1.0 - LOSS_EPS)
     bins = linspace(0.0, 1.0, 11)
@@ -298,15 +297,16 @@ def ks_distance(df: DataFrame, value: str, group: str, first: object, second: ob
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count_if(F.col(group) == F.lit(first)).alias("a"), F.count_if(F.col(group) == F.lit(second)).alias("b")
     )
+    decision = decide_reduced(rows, counts, keys, policy)
     scan = (
-        OrderedScan(counts, keys, [value], policy)
+        OrderedScan(counts, keys, [value], decision)
         .running_sum("ca", F.col("a"), inclusive=True)
         .running_sum("cb", F.col("b"), inclusive=True)
         .result()
     )
     totals = counts.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     gap = F.abs(F.try_divide(F.col("ca").cast("double"), F.col("na")) - F.try_divide(F.col("cb").cast("double"), F.col("nb")))
-    out = with_group_row(scan, totals, by, [] if by else [_ALL], [value], policy).groupBy(*keys).agg(F.max(gap).alias("ks"))
+    out = with_group_row(scan, totals, by, [] if by else [_ALL], [value], decision).groupBy(*keys).agg(F.max(gap).alias("ks"))
     return out if by else out.drop(_ALL)
 
 

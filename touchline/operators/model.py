@@ -144,7 +144,9 @@ def _fit(df: DataFrame, contract: FeatureContract, target: str, c: float, scale:
             elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-7,
         )
     )
-    pipeline = Pipeline(stages=stages).fit(rows)
+    # every pass of the optimiser reads all rows: spread them evenly once, whatever partitions the input came in
+    even = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    pipeline = Pipeline(stages=stages).fit(even)
     names = [*numeric, *binary]
     if categorical:
         indexer = pipeline.stages[1]

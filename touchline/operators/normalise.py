@@ -9,7 +9,7 @@ from touchline.functions.geometry import geometry_columns
 from touchline.functions.numeric import pressure_proxy
 from touchline.functions.timing import clock_seconds, minute_bucket_closed_right
 from touchline.operators.blocks import DEFAULT_POLICY, SplitDecision, SplitPolicy
-from touchline.operators.joins import salted_join
+from touchline.operators.joins import broadcast_if_small, salted_join
 from touchline.operators.sequences import counts_as_goal, possession_features, running_score
 
 _KEY = ["match_id", "event_id"]
@@ -122,16 +122,18 @@ def event_rows(raw: DataFrame, teams: DataFrame | None = None) -> DataFrame:
     )
     if teams is not None:
         known = teams.select("team_id", F.lit(True).alias("__known"))
-        out = out.join(known, "team_id", "left").withColumn(
+        out = out.join(broadcast_if_small(known), "team_id", "left").withColumn(
             "team_id", F.when(F.col("__known"), F.col("team_id")).otherwise(F.lit(0))
         ).drop("__known")
     return out.withColumn("team_id", F.coalesce("team_id", F.lit(0)))
 
 
-def backlog(raw: DataFrame, events: DataFrame) -> DataFrame:
-    """Raw events without a normalised row."""
+def backlog(raw: DataFrame, events: DataFrame, from_match: int | None = None, limit: int | None = None) -> DataFrame:
+    """Raw events without a normalised row, optionally from a match id on and at most ``limit`` of them."""
     done = events.select("match_id", F.col("event_id").alias("id"))
-    return raw.join(done, ["match_id", "id"], "left_anti")
+    rows = raw if from_match is None else raw.where(F.col("match_id") >= from_match)
+    left = rows.join(done, ["match_id", "id"], "left_anti")
+    return left if limit is None else left.orderBy("match_id", "event_seq").limit(limit)
 
 
 def _detail(raw: DataFrame, types: list[str], **columns: Column) -> DataFrame:
@@ -209,6 +211,20 @@ DETAIL_TABLES = {
 }
 
 
+def events_with_details(events: DataFrame, duels: DataFrame, blocks: DataFrame, interceptions: DataFrame,
+                        pressures: DataFrame) -> DataFrame:
+    """Events with the fields of their one-to-one detail rows, where they have one."""
+    out = events
+    for table, columns in (
+        (duels, {"duel_type": "duel_type", "outcome": "duel_outcome"}),
+        (blocks, {"block_type": "block_type"}),
+        (interceptions, {"outcome": "interception_outcome"}),
+        (pressures, {"duration_seconds": "pressure_duration"}),
+    ):
+        out = out.join(table.select(*_KEY, *[F.col(c).alias(n) for c, n in columns.items()]), _KEY, "left")
+    return out
+
+
 def missing_details(raw: DataFrame, existing: DataFrame, table: str) -> DataFrame:
     """Detail rows of a table that are not stored yet."""
     return DETAIL_TABLES[table](raw).join(existing.select(*_KEY), _KEY, "left_anti")

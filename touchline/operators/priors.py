@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from touchline import config as C
 from touchline.functions.labels import is_holdout
 from touchline.functions.numeric import clip, logit, safe_ratio
-from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy
+from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy, decide
 from touchline.operators.joins import require_columns
 from touchline.operators.quantiles import medians
 from touchline.operators.sequences import first_rows
@@ -65,10 +65,15 @@ def with_against(sides: DataFrame) -> DataFrame:
 
 def rolling_form(sides: DataFrame, windows: Sequence[int] = C.ROLLING_WINDOWS,
                  policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
-    """Match number in the season and sums over the previous matches, for and against. Only earlier matches count."""
-    dated = sides.withColumn("__undated", F.col("match_date").isNull())
+    """Match number in the season and sums over the previous matches, for and against. Only earlier matches count.
+
+    ``sides`` are the rows of ``match_sides``; their group sizes are read before the join with the opponent's rows.
+    """
+    key = ["competition_season_key", "team_id"]
+    decision = decide(sides, key, policy)
+    dated = with_against(sides).withColumn("__undated", F.col("match_date").isNull())
     scan = OrderedScan(
-        dated, ["competition_season_key", "team_id"], ["__undated", "match_date", "match_id", "opponent_team_id"], policy
+        dated, key, ["__undated", "match_date", "match_id", "opponent_team_id"], decision
     ).running_sum("match_number", F.lit(1).cast("long"))
     for w in windows:
         for prefix, suffix in (("att", "for"), ("def", "against")):

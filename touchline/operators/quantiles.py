@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy, decide
+from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy, decide_reduced
 from touchline.operators.joins import with_group_row
 
 _ALL = "__all"
@@ -23,7 +23,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     rows = df.where(F.col(value).isNotNull()).withColumn(_ALL, F.lit(0))
     group = [*by, _ALL]
     counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
-    decision = decide(counts, group, policy)
+    decision = decide_reduced(rows, counts, group, policy)
     cumulative = OrderedScan(counts, group, [value], decision).running_sum("__below", F.col("__n")).result()
     totals = counts.groupBy(*group).agg(F.sum("__n").alias("__total"))
     ranked = with_group_row(cumulative, totals, by, [_ALL], [value], decision)

@@ -33,6 +33,30 @@ def scored_shots(raw: DataFrame, matches: DataFrame, policy: SplitPolicy | Split
     )
 
 
+def base_shots(shots: DataFrame, features: DataFrame, matches: DataFrame, competitions: DataFrame,
+               teams: DataFrame | None = None, version: str = "v1",
+               policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
+    """The stored shot table with its features of one version, match and competition, and both team names.
+
+    Shots meet their features on the shot id; matches on the match id, with hot matches spread; the rest are dimensions
+    whose size is checked before they are broadcast.
+    """
+    wanted = features.where(F.col("version_tag") == version).drop("version_tag")
+    joined = shots.join(wanted, ["match_id", "shot_id"])
+    games = matches.select("match_id", "competition_id", "season_id", "season", "match_date", "home_team_id")
+    joined = salted_join(joined, games, ["match_id"], "inner", ["shot_id"], policy=policy)
+    names = competitions.select("competition_id", "season_id", "competition_name")
+    joined = joined.join(broadcast_if_small(names), ["competition_id", "season_id"]).withColumn(
+        "is_home", F.col("team_id") == F.col("home_team_id")
+    ).drop("home_team_id")
+    if teams is None:
+        return joined
+    for key, name in (("team_id", "team_name"), ("opponent_team_id", "opponent_name")):
+        table = teams.select(F.col("team_id").alias(key), F.col("name").alias(name))
+        joined = joined.join(broadcast_if_small(table), key, "left").withColumn(name, L.team_label(F.col(name), F.col(key)))
+    return joined
+
+
 def key_passes(raw: DataFrame) -> DataFrame:
     """Pass fields a shot may refer to."""
     p = "pass"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from touchline.operators.joins import attach_bucket_prior, attach_side_prior
 from touchline.operators.metrics import provider_prediction, slice_metrics, with_slice_description
 from touchline.operators.model import FittedModel, cluster_styles, fit_bucket_model
 from touchline.operators.reports import match_table, season_table
+from touchline.plans.staging import written
 
 Policy = SplitPolicy | SplitDecision
 
@@ -64,15 +66,17 @@ BUCKET_SPECS = [
 
 
 def bucket_priors(dataset: DataFrame, angle_unit: str = "radians") -> dict[str, DataFrame]:
-    """The four bucket tables, each from its own fit."""
+    """The four bucket tables, each from its own fit, written once: every later use reads a few rows."""
     rows = trigger_buckets(pressure_buckets(dataset, angle_unit))
-    return {s.name: fit_bucket_model(rows, s.columns, min_shots=s.min_shots, required=s.required)[0] for s in BUCKET_SPECS}
+    return {
+        s.name: written(fit_bucket_model(rows, s.columns, min_shots=s.min_shots, required=s.required)[0]) for s in BUCKET_SPECS
+    }
 
 
 def side_priors(dataset: DataFrame, possessions: DataFrame, events: DataFrame, include_holdout: bool = False,
                 policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Finishing and concession priors per match side. The holdout season is kept out of the style fit by default."""
-    form = R.rolling_bias(R.rolling_form(R.with_against(R.match_sides(dataset)), policy=policy))
+    form = R.rolling_bias(R.rolling_form(R.match_sides(dataset), policy=policy))
     style = R.style_features(form, possessions, events)
     train = F.lit(True) if include_holdout else ~F.col("is_holdout")
     clustered = cluster_styles(style, R.STYLE_FEATURES, train)
@@ -93,6 +97,16 @@ def enrich(dataset: DataFrame, sides: DataFrame | None, buckets: dict[str, DataF
     return out
 
 
+def enrich_out_of_fold(dataset: DataFrame, sides: DataFrame | None, k: int = 5, fold: str = "fold",
+                       angle_unit: str = "radians") -> DataFrame:
+    """Bucket priors without target leakage: the rows of a fold get the priors fitted on the other folds."""
+    parts = [
+        enrich(dataset.where(F.col(fold) == i), sides, bucket_priors(dataset.where(F.col(fold) != i), angle_unit), angle_unit)
+        for i in range(k)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- scoring and evaluation -------------------------------------------------------------------------------------
 
 

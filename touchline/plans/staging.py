@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: its size is then known, and later jobs do not rebuild it."""
+    path = f"{shared_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stage(df_builder, spark: SparkSession, name: str) -> DataFrame:
     """Table ``name`` of this application, built and written on first use."""
     key = (spark.sparkContext.applicationId, name)
