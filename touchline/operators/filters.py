@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline import config as C
 from touchline.operators.joins import salted_join
 
 KEPT = "kept"
