@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm import jaccard_join as J
 from touchline.llm import quality_rules as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +71,25 @@ from judged
 @register("op1_quality_rules", QUALITY_SQL)
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return Q.quality_verdicts(table(spark, folder, "documents"))
+
+
+JACCARD_SQL = r"""
+with recursive words as (
+  select doc_id, [x for x in regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as ws
+  from documents),
+places as (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) as i from words where len(ws) > 0),
+shingles as (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g from places),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as u, b.doc_id as v, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select u, v from common join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select doc_id as u, doc_id as v from documents union select r.u, l.v from reach r join links l on r.v = l.u),
+roots as (select u as doc_id, min(v) as component_id from reach group by u)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, r.component_id
+from documents d join roots r using (doc_id) left join sizes s using (doc_id)
+"""
+
+
+@register("op2_jaccard_join", JACCARD_SQL)
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return J.jaccard_components(table(spark, folder, "documents"))
