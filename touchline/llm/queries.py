@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm import decontamination as D
 from touchline.llm import jaccard_join as J
 from touchline.llm import quality_rules as Q
 
@@ -93,3 +94,35 @@ from documents d join roots r using (doc_id) left join sizes s using (doc_id)
 @register("op2_jaccard_join", JACCARD_SQL)
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return J.jaccard_components(table(spark, folder, "documents"))
+
+
+LEAKS_SQL = r"""
+with d as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as ws from documents),
+b as (
+  select item_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as ws from benchmark),
+phrases as (
+  select distinct item_id, least(10, len(ws)) as n, array_to_string(ws[i:i + 9], ' ') as p
+  from (select item_id, ws, unnest(range(1, greatest(2, len(ws) - 8))) as i from b where len(ws) > 0)),
+sizes as (select distinct n from phrases),
+places as (select doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) as i from d, sizes where len(ws) >= n),
+hits as (select doc_id, i, places.n, item_id from places join phrases on places.n = phrases.n and array_to_string(ws[i:i + places.n - 1], ' ') = p),
+hit_words as (select doc_id, count(distinct w) as n_hit from (select doc_id, unnest(range(i, i + n)) as w from hits) group by doc_id),
+met as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as ks
+  from (select distinct doc_id, item_id::varchar as k from hits) group by doc_id),
+ordered as (select *, max(i + n) over (partition by doc_id order by i, n rows between unbounded preceding and 1 preceding) as seen
+  from (select distinct doc_id, i, n from hits)),
+runs as (select *, sum(case when seen is null or i > seen then 1 else 0 end) over (partition by doc_id order by i, n) as run from ordered),
+spans as (select doc_id, string_agg(s, ',' order by a) as spans
+  from (select doc_id, min(i) - 1 as a, (min(i) - 1) || ':' || (max(i + n) - 1) as s from runs group by doc_id, run) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ks, '')) as items_sha256, n_hit is not null as contaminated, coalesce(spans, '') as spans
+from d left join hit_words using (doc_id) left join met using (doc_id) left join spans using (doc_id)
+"""
+
+
+@register("op9_decontamination", LEAKS_SQL)
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return D.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
