@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import decontamination as D
 from touchline.llm import jaccard_join as J
+from touchline.llm import pii as P
 from touchline.llm import quality_rules as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +127,8 @@ from d left join hit_words using (doc_id) left join met using (doc_id) left join
 @register("op9_decontamination", LEAKS_SQL)
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return D.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op3_pii")
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return P.personal_data(table(spark, folder, "documents"))
