@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from touchline.llm import decontamination as D
 from touchline.llm import jaccard_join as J
+from touchline.llm import packing as K
 from touchline.llm import pii as P
 from touchline.llm import quality_rules as Q
+from touchline.llm.tokens import public
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +135,10 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @register("op3_pii")
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return P.personal_data(table(spark, folder, "documents"))
+
+
+@register("op6_packing")
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = K.token_pieces(table(spark, folder, "documents"), public("word_bpe_49k.json"))
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return K.packed_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
