@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 250_000
 
 
 class Encoder:
@@ -29,11 +29,14 @@ class Encoder:
         self._drops = model.get("end_of_word_suffix") is not None
         plain = spec["pre_tokenizer"]
         self._cuts = self._drops or (plain["type"] == "ByteLevel" and plain["use_regex"] and not plain["add_prefix_space"] and not spec["normalizer"])
+        # words of the batches lately seen and of those before them; a word that neither has is encoded
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
+        self._old: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
         # many words are encoded in one go, with a special token between them: it cuts before anything else does
         marks = [t for t in spec["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
         self._mark = (marks[-1]["content"], marks[-1]["id"]) if marks else None
+        self._stops = {c: self._ids(c).tobytes() for c in ".,"}
         self._line = self._bytes(["\n"])[0] if self._cuts and not self._drops else b""
 
     def _ids(self, text: str) -> np.ndarray:
@@ -51,23 +54,33 @@ class Encoder:
         return out
 
     def _learn(self, known: dict[str, bytes | None], words: set[str], before: str) -> None:
+        if len(known) > self._bound:
+            self._old[before] = dict(known)
+            known.clear()
+        old = self._old[before]
+        words = {w for w in words if w not in known}
+        known.update((w, old[w]) for w in words if w in old)
         words = [w for w in words if w not in known]
-        good = [w for w in words if w and w == w.strip()]
-        known.update(zip(good, self._bytes([before + w for w in good]), strict=True))
-        known.update((w, None) for w in words if not w or w != w.strip())
+        # a full stop or comma after a letter is a piece of its own
+        stems = {w: w[:-1] if w[-1:] in ".," and w[-2:-1].isalpha() else w for w in words}
+        new = [w for w in {*stems.values()} if w not in known and w and w == w.strip()]
+        known.update(zip(new, self._bytes([before + w for w in new]), strict=True))
+        for w, stem in stems.items():
+            if w is not stem:
+                ids = known.get(stem)
+                known[w] = ids + self._stops[w[-1]] if ids is not None else None
+            elif w not in known:
+                known[w] = None
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self._cuts:
             return [self._ids(t) for t in texts]
-        if len(self._first) + len(self._later) > self._bound:
-            self._first.clear()
-            self._later.clear()
         return self._dropping(texts) if self._drops else self._keeping(texts)
 
     def _dropping(self, texts: list[str]) -> list[np.ndarray]:
         known = self._first
         split = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        self._learn(known, {w for words in split for w in words if w not in known}, "")
+        self._learn(known, {w for words in split for w in words}, "")
         out = []
         for t, words in zip(texts, split, strict=True):
             parts = [known[w] for w in words]
@@ -77,8 +90,8 @@ class Encoder:
     def _keeping(self, texts: list[str]) -> list[np.ndarray]:
         first, later, line = self._first, self._later, self._line
         split = [[row.split(" ") for row in t.split("\n")] for t in texts]
-        self._learn(first, {row[0] for rows in split for row in rows if row[0] not in first}, "")
-        self._learn(later, {w for rows in split for row in rows for w in row[1:] if w not in later}, " ")
+        self._learn(first, {row[0] for rows in split for row in rows}, "")
+        self._learn(later, {w for rows in split for row in rows for w in row[1:]}, " ")
         out = []
         for t, rows in zip(texts, split, strict=True):
             parts: list[bytes | None] = []
