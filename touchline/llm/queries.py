@@ -11,6 +11,7 @@ from touchline.llm import decontamination as D
 from touchline.llm import jaccard_join as J
 from touchline.llm import packing as K
 from touchline.llm import pii as P
+from touchline.llm import quality_classifier as C
 from touchline.llm import quality_rules as Q
 from touchline.llm.tokens import public
 
@@ -142,3 +143,8 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = K.token_pieces(table(spark, folder, "documents"), public("word_bpe_49k.json"))
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return K.packed_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return C.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
