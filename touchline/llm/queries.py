@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import decontamination as D
 from touchline.llm import jaccard_join as J
+from touchline.llm import lm_scoring as L
 from touchline.llm import packing as K
 from touchline.llm import pii as P
 from touchline.llm import quality_classifier as C
@@ -148,3 +149,8 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 @register("op4_quality_classifier")
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return C.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return L.document_scores(table(spark, folder, "documents"))
