@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.shared import bitmap, components, written
-from touchline.llm.text import WordHashes, mix, split_words
+from touchline.llm.text import WordHashes, mix
 
 SHINGLE, PERCENT = 4, 85
 MINIMA = 8
@@ -66,53 +66,74 @@ def _views(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def _minima(tokens: np.ndarray) -> np.ndarray:
+    """The smallest token of each class of tokens by their last bits: what equal minima say of two sets, one pass can tell."""
+    return tokens[np.unique(tokens & (MINIMA - 1), return_index=True)[1]]
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, h, t): ``h`` is a hash of the id, to look it up in bit tables."""
+    key = F.col(f"`{key}`").cast("bigint")
+    return docs.select(key.alias("id"), F.xxhash64(key).alias("h"), F.col(f"`{text}`").cast("string").alias("t"))
+
+
+def _built(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarray]]]:
+    """Ids, nodes and sets of the documents of some batches, a few at a time."""
+    hashed = WordHashes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            tokens = [shingles(h, size) for h in hashed(part.column(2))]
+            with np.errstate(over="ignore"):
+                nodes = np.array([mix(mix(t, 77).sum(dtype=np.uint64)[None], len(t))[0] for t in tokens], np.uint64).view(np.int64)
+            yield part.column(0), nodes, tokens
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int, ids: np.ndarray | None = None) -> DataFrame:
+    """(id, node, n, minima, tokens) of each document; with a bit table ``ids``, of those whose id it may hold. Sets are built anew from
+    the texts wherever they are needed: that is cheaper than keeping them all."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids) if ids is not None else None
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                tokens = [shingles(hashed(split_words(t, lower=True)), size) for t in part.column(1).to_pylist()]
-                minima = [
-                    np.array([mix(t, k + 1).min() for k in range(MINIMA)], np.uint64).view(np.int64) if len(t) else t for t in tokens
-                ]
-                with np.errstate(over="ignore"):
-                    nodes = [int(mix(mix(t, 77).sum(dtype=np.uint64)[None], len(t))[0].astype(np.int64)) for t in tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(t) for t in tokens], pa.int32()), _lists(minima), _lists(tokens)],
-                    names=["id", "node", "n", "minima", "tokens"],
-                )
-
-    return docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(work, _SETS)
-
-
-def _flagged(sets: DataFrame, table: np.ndarray, wanted: bool) -> DataFrame:
-    """Rows whose node's bit in ``table`` is as wanted."""
+        if shared is not None:
+            batches = (b.filter(pa.array(shared.value[b.column(1).to_numpy() & (len(shared.value) - 1)])) for b in batches)
+        for ids, nodes, tokens in _built(batches, size):
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(nodes), pa.array([len(t) for t in tokens], pa.int32()), _lists([_minima(t) for t in tokens]), _lists(tokens)],
+                names=["id", "node", "n", "minima", "tokens"],
+            )
+
+    return _rows(docs, key, text).mapInArrow(work, _SETS)
+
+
+def _flagged(sets: DataFrame, table: np.ndarray) -> DataFrame:
+    """Rows whose node's bit is set in ``table``."""
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def work(batches):
         for batch in batches:
             nodes = batch.column("node").to_numpy()
-            yield batch.filter(pa.array(shared.value[nodes & (len(shared.value) - 1)] == wanted))
+            yield batch.filter(pa.array(shared.value[nodes & (len(shared.value) - 1)]))
 
     return sets.mapInArrow(work, sets.schema)
 
 
-def _one_each(sets: DataFrame, nodes: DataFrame, table: np.ndarray) -> DataFrame:
-    """The set of each flagged node, once: that of its smallest id. Rows that repeat an id go too."""
-    first = _flagged(sets.select("id", "node", "n", "tokens"), table, True).join(nodes.select("node", F.col("rep").alias("id")), ["id", "node"])
-    return first.dropDuplicates(["node"])
+def _one_each(docs: DataFrame, key: str, text: str, size: int, nodes: DataFrame) -> DataFrame:
+    """The set of each of ``nodes`` (node, rep), once: that of its smallest id. Rows that repeat an id go too."""
+    ids = bitmap(nodes.select(F.xxhash64("rep").alias("h")), "h")
+    found = shingle_sets(docs, key, text, size, ids).select("id", "node", "n", "tokens")
+    return found.join(nodes.select("node", F.col("rep").alias("id")), ["id", "node"]).dropDuplicates(["id", "node"])
 
 
 def _families(nodes: DataFrame) -> DataFrame:
     """(node, centre): for each node that shares some minima with a more central one."""
-    keyed = nodes.select("node", F.posexplode("minima").alias("k", "key"))
-    often = keyed.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1")
-    keyed = written(keyed.join(often, ["k", "key"]))
+    keyed = nodes.select("node", F.explode("minima").alias("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    keyed = written(keyed.join(often, "key"))
     centrality = keyed.groupBy("node").agg(F.sum("c").alias("c"))
-    central = keyed.select("k", "key", "node").join(centrality, "node").groupBy("k", "key").agg(F.max(F.struct("c", "node")).alias("m"))
+    central = keyed.select("key", "node").join(centrality, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("m"))
     tries = (
-        keyed.select("k", "key", "node").join(central, ["k", "key"]).where("node != m.node")
+        keyed.select("key", "node").join(central, "key").where("node != m.node")
         .groupBy("node", F.col("m.node").alias("centre"), F.col("m.c").alias("c")).agg(F.count("*").alias("same")).where(F.col("same") >= TRY)
     )
     tries = written(tries)
@@ -208,30 +229,49 @@ def _inside(deltas: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("centre", "b1", "b2").applyInPandas(work, "u bigint, v bigint")
 
 
+_ENTRIES = "token bigint, family bigint, n int, rest int"
+
+
+def _prefix(families: np.ndarray, sets: list[np.ndarray], late: np.ndarray, percent: int) -> pa.RecordBatch:
+    """(token, family, n, rest) for the prefix of each set, frequent tokens (``late``) last: ``rest`` tokens stand after each one."""
+    tokens, lengths = [], []
+    for t in sets:
+        n = len(t)
+        p = min(n, n - -(-percent * n // 100) + COMMON)
+        often = late[t & (len(late) - 1)]
+        tokens.append((t if not often[:p].any() else np.concatenate([t[~often], t[often]]))[:p])
+        lengths.append(p)
+    lengths = np.array(lengths, np.int64)
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    n = np.repeat([len(t) for t in sets], lengths)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64()), pa.array(np.repeat(families, lengths), pa.int64()),
+         pa.array(n.astype(np.int32)), pa.array((n - 1 - place).astype(np.int32))],
+        names=["token", "family", "n", "rest"],
+    )
+
+
+def _plain_prefixes(docs: DataFrame, key: str, text: str, size: int, marked: np.ndarray, frequent: np.ndarray, percent: int) -> DataFrame:
+    """Prefixes of the sets that are one of a kind, each its own family, straight from the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((marked, frequent))
+
+    def work(batches):
+        marked, late = shared.value
+        for ids, nodes, tokens in _built(batches, size):
+            some = [i for i, t in enumerate(tokens) if len(t) and ids[i].is_valid and not marked[nodes[i] & (len(marked) - 1)]]
+            yield _prefix(nodes[some], [tokens[i] for i in some], late, percent)
+
+    return _rows(docs, key, text).mapInArrow(work, _ENTRIES)
+
+
 def _prefixes(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(token, family, n, rest) for the prefix of each set: ``rest`` tokens stand after it."""
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def work(batches):
         for batch in batches:
-            nodes, sizes = batch.column("family").to_numpy(), batch.column("n").to_numpy()
-            tokens, lengths = [], []
-            for t, n in zip(_views(batch.column("tokens")), sizes, strict=True):
-                p = min(n, n - -(-percent * n // 100) + COMMON)
-                late = shared.value[t & (len(shared.value) - 1)]
-                some = t[: p + 1] if not late[: p + 1].any() else np.concatenate([t[~late], t[late]])
-                tokens.append(some[:p])
-                lengths.append(p)
-            lengths = np.array(lengths, np.int64)
-            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            n = np.repeat(sizes, lengths)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64()), pa.array(np.repeat(nodes, lengths), pa.int64()),
-                 pa.array(n, pa.int32()), pa.array((n - 1 - place).astype(np.int32), pa.int32())],
-                names=["token", "family", "n", "rest"],
-            )
+            yield _prefix(batch.column("family").to_numpy(), _views(batch.column("tokens")), shared.value, percent)
 
-    return sets.mapInArrow(work, "token bigint, family bigint, n int, rest int")
+    return sets.select("family", "tokens").mapInArrow(work, _ENTRIES)
 
 
 def list_pairs(token, family, low, high, rest, percent: int):
@@ -294,35 +334,41 @@ def _overlaps(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a bigint, b bigint, inner bigint, together bigint")
 
 
+def _met(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    return reps.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``."""
-    sets = written(shingle_sets(docs, key, text, size))
+    sets = written(shingle_sets(docs, key, text, size).drop("tokens"))
+    solid = sets.where("n > 0 and id is not null")
     nodes = written(
-        sets.where("n > 0 and id is not null").groupBy("node")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("minima").alias("minima"))
+        solid.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     )
-    solid = sets.where("n > 0 and id is not null")
     families = written(_families(nodes))
-    marked = nodes.where("rows > 1").select("node").union(families.select("node")).union(families.select("centre"))
+    marked = nodes.where("rows > 1").select("node").union(families.select("node")).union(families.select("centre")).distinct()
     table = bitmap(marked, "node")
-    own = written(_one_each(solid, nodes, table))
+    reps = nodes.select("node", "rep")
+    own = written(_one_each(docs, key, text, size, reps.join(marked, "node")))
     deltas = written(_deltas(families, own))
     linked = deltas.where(F.col("far") <= 1 - percent / 100 + 1e-12).select(F.col("node").alias("u"), F.col("centre").alias("v"))
     inside = _inside(deltas, percent)
 
-    sampled = solid.where(F.pmod("node", F.lit(SAMPLED)) == 0).select(F.explode("tokens").alias("token"))
+    some = docs.where(F.pmod(F.xxhash64(F.col(f"`{key}`").cast("bigint"), F.lit(1)), F.lit(SAMPLED)) == 0)
+    sampled = shingle_sets(some, key, text, size).select(F.explode("tokens").alias("token"))
     frequent = bitmap(sampled.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT), "token")
-    plain = _flagged(solid.select("node", "n", "tokens"), table, False).select(F.col("node").alias("family"), "n", "tokens")
+    # a node whose bit is set without being marked itself is one of a kind, and joins the marked ones
+    stray = _flagged(nodes.select("node", "rep"), table).join(marked, "node", "left_anti")
+    own = own.unionByName(_one_each(docs, key, text, size, stray))
     grouped = own.join(deltas.select("node", "centre"), "node", "left").select(F.coalesce("centre", "node").alias("family"), "n", "tokens")
-    entries = _prefixes(plain, frequent, percent).select("token", "family", F.col("n").alias("low"), F.col("n").alias("high"), "rest").unionByName(
+    entries = _plain_prefixes(docs, key, text, size, table, frequent, percent).select("token", "family", F.col("n").alias("low"), F.col("n").alias("high"), "rest").unionByName(
         _prefixes(grouped, frequent, percent).groupBy("token", "family")
         .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     )
     pairs = written(_candidates(entries, percent))
 
     spread = deltas.groupBy("centre").agg(F.max("far").alias("far"))
-    met = bitmap(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node")
-    centres = written(_overlaps(pairs, _one_each(solid, nodes, met)))
+    centres = written(_overlaps(pairs, _one_each(docs, key, text, size, _met(pairs, reps))))
     across = centres.where(_linked(F.col("inner"), F.col("together"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     reach = 1 - percent / 100 + 1e-9
     doubt = (
@@ -339,17 +385,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .where(F.col("fu") + F.col("fv") >= F.col("far") - reach).where("u != a or v != b")
     )
     doubt = written(doubt.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a != b").distinct())
-    met = bitmap(doubt.select(F.col("a").alias("node")).union(doubt.select(F.col("b").alias("node"))).distinct(), "node")
-    rest = _overlaps(doubt, _one_each(solid, nodes, met)).where(_linked(F.col("inner"), F.col("together"), percent))
+    rest = _overlaps(doubt, _one_each(docs, key, text, size, _met(doubt, reps))).where(_linked(F.col("inner"), F.col("together"), percent))
     edges = linked.unionByName(inside).unionByName(across).unionByName(rest.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    reps = nodes.select("node", "rep")
     edges = (
         edges.join(reps.select(F.col("node").alias("u"), F.col("rep").alias("ru")), "u")
         .join(reps.select(F.col("node").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     )
     # equal sets are linked through their node; rows with one key through that key
-    same = sets.where("n > 0 and id is not null").select("id", "node").join(reps, "node").where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    same = solid.select("id", "node").join(reps, "node").where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     found = components(edges.unionByName(same))
     return sets.select("id", "n").join(found.select(F.col("v").alias("id"), "root"), "id", "left").select(
         F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +35,63 @@ def mix(values: np.ndarray, salt: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered within a bound: common words are hashed once per worker."""
-
-    def __init__(self, bound: int = 300_000) -> None:
-        import xxhash
+_PRIME = 0x9E3779B97F4A7C15
+_PIECE = 1_000_000
+_CODES = {
+    lower: mix(np.array([c + 32 if lower and 65 <= c <= 90 else c for c in range(256)], np.uint64), 5) for lower in (False, True)
+}
+_IN_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 
-        self._digest, self._known, self._bound = xxhash.xxh3_64_intdigest, {}, bound
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, digest = self._known, self._digest
-        if len(known) > self._bound:
-            known.clear()
-        out = [known.get(w) for w in words]
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    w = words[i]
-                    out[i] = known[w] = digest(w)
-        return np.array(out, dtype=np.uint64)
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def partitions_for(spark, rows_of_work: int = 0) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows_of_work / 1_000_000))
+class WordHashes:
+    """64-bit hashes of the words of Arrow strings, straight from their bytes: a word is a difference of running sums of its bytes times
+    powers of an odd number, brought back to power zero. No Python object is made for a word."""
+
+    def __init__(self, lower: bool = True) -> None:
+        self._codes = _CODES[lower]
+        self._up, self._down = _powers(_PRIME, 1), _powers(pow(_PRIME, -1, 1 << 64), 1)
+
+    def _piece(self, data: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = _IN_WORD[data]
+        first = inside & row_start
+        first[1:] |= inside[1:] & ~inside[:-1]
+        first[:1] = inside[:1]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | row_start[1:]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if len(self._up) < len(data) + 1:
+            self._up, self._down = _powers(_PRIME, len(data) + 1), _powers(pow(_PRIME, -1, 1 << 64), len(data) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self._codes[data] * self._up[: len(data)], out=sums[1:])
+            return mix((sums[ends] - sums[starts]) * self._down[starts], 3), starts
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """One array of hashes for each string; a null has none."""
+        column = column.fill_null("").cast(pa.large_string())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        row_start = np.zeros(len(data) + 1, bool)
+        row_start[offsets[:-1]] = True
+        row_start = row_start[:-1]
+        hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        while at < len(data):
+            end = at + _PIECE
+            while end < len(data) and _IN_WORD[data[end]] and not row_start[end]:
+                end += 1
+            h, s = self._piece(data[at:end], row_start[at:end])
+            hashes.append(h)
+            starts.append(s + at)
+            at = end
+        return np.split(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets[1:-1])) if len(column) else []
 
 
 def packed(df: DataFrame, text: str = "text") -> DataFrame:
