@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from touchline.llm import decontamination as D
 from touchline.llm import jaccard_join as J
+from touchline.llm import license_scan as S
 from touchline.llm import lm_scoring as L
 from touchline.llm import packing as K
 from touchline.llm import pii as P
 from touchline.llm import quality_classifier as C
 from touchline.llm import quality_rules as Q
+from touchline.llm import url_filters as U
 from touchline.llm.tokens import public
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +156,36 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @register("op5_lm_scoring")
 def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return L.document_scores(table(spark, folder, "documents"))
+
+
+@register("op7_url_filters")
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return U.url_verdicts(table(spark, folder, "pages"))
+
+
+_NOTICES = ", ".join(f"('{name}', '{text}')" for name, text in S.TEMPLATES.items())
+LICENSES_SQL = rf"""
+with templates(name, text) as (values {_NOTICES}),
+words as (
+  select 'd' as kind, doc_id::varchar as k, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as ws from documents
+  union all
+  select 't', name, [x for x in regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] from templates),
+places as (select kind, k, ws, unnest(range(1, len(ws) - 3)) as i from words where len(ws) >= 5),
+shingles as (select kind, k, i, array_to_string(ws[i:i + 4], ' ') as g from places),
+own as (select distinct k as name, g from shingles where kind = 't'),
+sizes as (select name, count(*) as size from own group by name),
+hits as (select s.k, s.i, s.g, o.name, z.size from shingles s join own o using (g) join sizes z using (name) where s.kind = 'd'),
+good as (
+  select a.k, a.name, a.i from hits a join hits b on a.k = b.k and a.name = b.name and b.i >= a.i and b.i < a.i + 2 * a.size
+  group by a.k, a.name, a.i, a.size having 100 * count(distinct b.g) >= 80 * a.size),
+named as (select k, count(distinct name) as n, string_agg(distinct name, ',' order by name) as names from good group by k)
+select d.doc_id, coalesce(n, 0)::bigint as n_licenses, coalesce(names, '') as licenses
+from documents d left join named on d.doc_id::varchar = k
+"""
+
+
+@register("op10_license_scan", LICENSES_SQL)
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return S.licenses(table(spark, folder, "documents"))
