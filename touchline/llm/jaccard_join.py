@@ -6,7 +6,7 @@
    compared there. Members linked to the centre need no further answer among themselves; only the others are compared, block by block.
 3. Between families an index lists, for each prefix token, families instead of sets, with a block's range of sizes and the most tokens
    that may follow its position. Lists are sorted by size and skipped from the first entry that is too large; entries whose positions
-   leave too few tokens are skipped too. Pairs need three common prefix tokens (fewer where sets are tiny).
+   leave too few tokens are skipped too. Pairs need several common prefix tokens, the more the larger they are.
 4. A pair of families is decided by its centres and the triangle inequality; members are looked at only where these leave a doubt.
 
 The order of tokens puts frequent ones last. It is taken from a sample of sets and a bit table of fixed size; any order gives the same
@@ -34,7 +34,8 @@ SHINGLE, PERCENT = 4, 85
 MINIMA = 8
 #: common minima that make a node try a centre, and the similarity in percent that lets it stay
 TRY, STAY = 2, 50
-COMMON = 3
+#: common prefix tokens that a set of so many shingles asks for
+COMMON, COMMON_EACH = 3, 50
 BLOCK = 512
 #: one set of so many is looked at for frequent tokens; a token in so many of them counts as frequent
 SAMPLED, FREQUENT = 32, 3
@@ -119,10 +120,10 @@ def _flagged(sets: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def _one_each(docs: DataFrame, key: str, text: str, size: int, nodes: DataFrame) -> DataFrame:
-    """The set of each of ``nodes`` (node, rep), once: that of its smallest id. Rows that repeat an id go too."""
+    """The set of each of ``nodes`` (node, rep and more), once: that of its smallest id. Rows that repeat an id go too."""
     ids = bitmap(nodes.select(F.xxhash64("rep").alias("h")), "h")
     found = shingle_sets(docs, key, text, size, ids).select("id", "node", "n", "tokens")
-    return found.join(nodes.select("node", F.col("rep").alias("id")), ["id", "node"]).dropDuplicates(["id", "node"])
+    return found.join(nodes.withColumnRenamed("rep", "id"), ["id", "node"]).dropDuplicates(["id", "node"])
 
 
 def _families(nodes: DataFrame) -> DataFrame:
@@ -145,29 +146,29 @@ def _linked(inner, union, percent):
     return 100 * inner >= percent * union
 
 
-def _deltas(families: DataFrame, own: DataFrame) -> DataFrame:
-    """For each node that stays with its centre: where it differs from it. ``far`` is their Jaccard distance."""
-    centres = own.select(F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("tokens").alias("centre_tokens"))
-    pairs = own.select("node", "n", "tokens").join(families, "node").join(centres, "centre")
+def _deltas(own: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """For each node with a centre: where it differs from it, their Jaccard distance ``far`` and its prefix. A node that does not stay has
+    no distance."""
+    centres = own.where("is_centre").select(F.col("node").alias("centre"), F.col("tokens").alias("centre_tokens"))
+    pairs = own.where("centre is not null").select("centre", "node", "n", "tokens").join(centres, "centre")
+    shared = own.sparkSession.sparkContext.broadcast(frequent)
 
     def work(batches):
         for batch in batches:
-            keep, delta, far = [], [], []
-            for i, (a, b) in enumerate(zip(_views(batch.column("tokens")), _views(batch.column("centre_tokens")), strict=True)):
+            deltas, far, first = [], [], []
+            for a, b in zip(_views(batch.column(3)), _views(batch.column(4)), strict=True):
                 differ = np.setxor1d(a, b, assume_unique=True)
                 inner, union = (len(a) + len(b) - len(differ)) // 2, (len(a) + len(b) + len(differ)) // 2
-                if 100 * inner >= STAY * union:
-                    keep.append(i)
-                    delta.append(differ)
-                    far.append(len(differ) / union)
-            part = batch.take(pa.array(keep, pa.int64()))
+                stays = 100 * inner >= STAY * union
+                deltas.append(differ if stays else differ[:0])
+                far.append(len(differ) / union if stays else None)
+                first.append(_first_tokens(a, shared.value, percent))
             yield pa.RecordBatch.from_arrays(
-                [part.column("centre"), part.column("centre_n"), part.column("node"), part.column("n"), _lists(delta), pa.array(far, pa.float64())],
-                names=["centre", "centre_n", "node", "n", "delta", "far"],
+                [*batch.columns[:3], _lists(deltas), pa.array(far, pa.float64()), _lists(first)], names=["centre", "node", "n", "delta", "far", "first"]
             )
 
-    return pairs.select("centre", "centre_n", "node", "n", "tokens", "centre_tokens").mapInArrow(
-        work, "centre bigint, centre_n int, node bigint, n int, delta array<bigint>, far double"
+    return pairs.select("centre", "node", "n", "tokens", "centre_tokens").mapInArrow(
+        work, "centre bigint, node bigint, n int, delta array<bigint>, far double, first array<bigint>"
     )
 
 
@@ -215,7 +216,7 @@ def delta_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
 def _inside(deltas: DataFrame, percent: int) -> DataFrame:
     """Links among members of a family that its centre does not answer. Members are dealt to blocks, and pairs of blocks to tasks."""
-    rows = deltas.withColumns({"d": F.size("delta"), "joined": F.col("far") <= 1 - percent / 100 + 1e-12})
+    rows = deltas.drop("first").withColumns({"d": F.size("delta"), "joined": F.col("far") <= 1 - percent / 100 + 1e-12})
     counted = rows.groupBy("centre").agg(F.count("*").alias("m"), F.sum((~F.col("joined")).cast("int")).alias("open")).where("open > 0 and m > 1")
     rows = rows.join(counted, "centre").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -232,18 +233,24 @@ def _inside(deltas: DataFrame, percent: int) -> DataFrame:
 _ENTRIES = "token bigint, family bigint, n int, rest int"
 
 
+def _common(n):
+    return COMMON + n // COMMON_EACH
+
+
+def _first_tokens(tokens: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set, frequent tokens (``late``) last: two sets that are similar enough share ``_common`` tokens of theirs."""
+    n = len(tokens)
+    p = min(n, n - -(-percent * n // 100) + _common(n))
+    often = late[tokens & (len(late) - 1)]
+    return (tokens if not often[:p].any() else np.concatenate([tokens[~often], tokens[often]]))[:p]
+
+
 def _prefix(families: np.ndarray, sets: list[np.ndarray], late: np.ndarray, percent: int) -> pa.RecordBatch:
-    """(token, family, n, rest) for the prefix of each set, frequent tokens (``late``) last: ``rest`` tokens stand after each one."""
-    tokens, lengths = [], []
-    for t in sets:
-        n = len(t)
-        p = min(n, n - -(-percent * n // 100) + COMMON)
-        often = late[t & (len(late) - 1)]
-        tokens.append((t if not often[:p].any() else np.concatenate([t[~often], t[often]]))[:p])
-        lengths.append(p)
-    lengths = np.array(lengths, np.int64)
+    """(token, family, n, rest) for the prefix of each set: ``rest`` tokens stand after each one."""
+    tokens = [_first_tokens(t, late, percent) for t in sets]
+    lengths = np.array([len(t) for t in tokens], np.int64)
     place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    n = np.repeat([len(t) for t in sets], lengths)
+    n = np.repeat(np.array([len(t) for t in sets], np.int64), lengths)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64()), pa.array(np.repeat(families, lengths), pa.int64()),
          pa.array(n.astype(np.int32)), pa.array((n - 1 - place).astype(np.int32))],
@@ -284,9 +291,11 @@ def list_pairs(token, family, low, high, rest, percent: int):
         near = (token[to] == token[at]) & (percent * low[to].astype(np.int64) <= 100 * high[at].astype(np.int64))
         at, to = at[near], to[near]
         least = -(-percent * (low[at].astype(np.int64) + low[to]) // (100 + percent))
-        good = (family[at] != family[to]) & (COMMON + np.minimum(rest[at], rest[to]) >= least)
+        need = np.minimum(_common(np.minimum(low[at], low[to]).astype(np.int64)), least)
+        # of the first ``need`` common tokens, each leaves room for those still wanted
+        good = (family[at] != family[to]) & (need + np.minimum(rest[at], rest[to]) >= least)
         a, b = family[at[good]], family[to[good]]
-        out.append((np.minimum(a, b), np.maximum(a, b), np.minimum(COMMON, least[good])))
+        out.append((np.minimum(a, b), np.maximum(a, b), need[good]))
         step += 1
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
 
@@ -346,25 +355,30 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         solid.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     )
     families = written(_families(nodes))
-    marked = nodes.where("rows > 1").select("node").union(families.select("node")).union(families.select("centre")).distinct()
+    central = families.select(F.col("centre").alias("node")).distinct().withColumn("is_centre", F.lit(True))
+    marked = nodes.where("rows > 1").select("node").union(families.select("node")).union(central.select("node")).distinct()
+    marked = marked.join(families, "node", "left").join(central, "node", "left").fillna(False, ["is_centre"])
     table = bitmap(marked, "node")
     reps = nodes.select("node", "rep")
     own = written(_one_each(docs, key, text, size, reps.join(marked, "node")))
-    deltas = written(_deltas(families, own))
-    linked = deltas.where(F.col("far") <= 1 - percent / 100 + 1e-12).select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    inside = _inside(deltas, percent)
-
     some = docs.where(F.pmod(F.xxhash64(F.col(f"`{key}`").cast("bigint"), F.lit(1)), F.lit(SAMPLED)) == 0)
     sampled = shingle_sets(some, key, text, size).select(F.explode("tokens").alias("token"))
     frequent = bitmap(sampled.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT), "token")
-    # a node whose bit is set without being marked itself is one of a kind, and joins the marked ones
-    stray = _flagged(nodes.select("node", "rep"), table).join(marked, "node", "left_anti")
-    own = own.unionByName(_one_each(docs, key, text, size, stray))
-    grouped = own.join(deltas.select("node", "centre"), "node", "left").select(F.coalesce("centre", "node").alias("family"), "n", "tokens")
-    entries = _plain_prefixes(docs, key, text, size, table, frequent, percent).select("token", "family", F.col("n").alias("low"), F.col("n").alias("high"), "rest").unionByName(
-        _prefixes(grouped, frequent, percent).groupBy("token", "family")
-        .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+    found = written(_deltas(own, frequent, percent))
+    deltas = found.where("far is not null")
+    linked = deltas.where(F.col("far") <= 1 - percent / 100 + 1e-12).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    inside = _inside(deltas, percent)
+
+    # a node whose bit is set without being marked itself is one of a kind, and joins the marked ones that have no centre
+    stray = _one_each(docs, key, text, size, _flagged(reps, table).join(marked, "node", "left_anti"))
+    alone = own.where("centre is null").select("node", "tokens").unionByName(stray.select("node", "tokens"))
+    members = found.select(F.when(F.col("far").isNull(), F.col("node")).otherwise(F.col("centre")).alias("family"), "n", F.posexplode("first").alias("place", "token"))
+    grouped = members.select("token", "family", "n", (F.col("n") - 1 - F.col("place")).alias("rest")).unionByName(
+        _prefixes(alone.withColumnRenamed("node", "family"), frequent, percent)
     )
+    entries = _plain_prefixes(docs, key, text, size, table, frequent, percent).select(
+        "token", "family", F.col("n").alias("low"), F.col("n").alias("high"), "rest"
+    ).unionByName(grouped.groupBy("token", "family").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest")))
     pairs = written(_candidates(entries, percent))
 
     spread = deltas.groupBy("centre").agg(F.max("far").alias("far"))
@@ -394,8 +408,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     # equal sets are linked through their node; rows with one key through that key
     same = solid.select("id", "node").join(reps, "node").where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = components(edges.unionByName(same))
-    return sets.select("id", "n").join(found.select(F.col("v").alias("id"), "root"), "id", "left").select(
+    roots = components(edges.unionByName(same))
+    return sets.select("id", "n").join(roots.select(F.col("v").alias("id"), "root"), "id", "left").select(
         F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )
 
