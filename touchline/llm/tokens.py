@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 500_000
 
 
 class Encoder:
@@ -33,23 +33,27 @@ class Encoder:
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
         self._old: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
-        # many words are encoded in one go, with a special token between them: it cuts before anything else does
-        marks = [t for t in spec["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
-        self._mark = (marks[-1]["content"], marks[-1]["id"]) if marks else None
+        # many words are encoded in one go, with a mark between them that is one id and never part of a word
+        self._between, self._mark = "", None
+        for mark in ("\n",) if not self._drops else (" \u2764 ", " \u2605 ", " \u00b6 ", " \u00a7 ", " \u2026 "):
+            if self._cuts and len(ids := self._ids(mark)) == 1:
+                self._between, self._mark = mark, int(ids[0])
+                break
         self._stops = {c: self._ids(c).tobytes() for c in ".,"}
         self._line = self._bytes(["\n"])[0] if self._cuts and not self._drops else b""
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._encoder.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self._encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _bytes(self, units: list[str]) -> list[bytes]:
-        if self._mark is None or any(self._mark[0] in u for u in units):
-            return [self._ids(u).tobytes() for u in units]
         out: list[bytes] = []
-        for at in range(0, len(units), 1000):
-            some = units[at : at + 1000]
-            ids = self._ids(self._mark[0].join(some))
-            ends = [*np.flatnonzero(ids == self._mark[1]).tolist(), len(ids)]
+        for at in range(0, len(units), 2000):
+            some = units[at : at + 2000]
+            if self._mark is None or any(self._between.strip(" ") in u for u in some):
+                out += [self._ids(u).tobytes() for u in some]
+                continue
+            ids = self._ids(self._between.join(some))
+            ends = [*np.flatnonzero(ids == self._mark).tolist(), len(ids)]
             out += [ids[a:b].tobytes() for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
         return out
 
