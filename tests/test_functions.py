@@ -154,3 +154,48 @@ def test_archetype_and_profile_rules(spark):
             (15.0, None, None, None, "Through Ball"), (11.0, None, None, None, None), (None, None, None, None, None)]
     got = values(spark, "d double, b string, c string, s string, a string", rows, k=L.shot_profile(*[F.col(c) for c in "dbcsa"]))
     assert [r[0] for r in got] == ["aerial", "set_piece", "long_range", "poacher", "counter_shot", "poacher", "creator"]
+
+
+def test_match_times_parse_whole_values(spark):
+    import datetime as dt
+
+    from touchline.operators.normalise import match_rows
+    from touchline.schemas import MATCH_DOC
+
+    schema = "match_id long, competition_id long, season_id long, doc_seq int"
+    texts = [("2016-05-01T15:00:00", "19:45"), ("2016-05-01", "19:45:00.000"), ("2016-05-01junk", "late"), (None, None), ("2016", "25:10")]
+    rows = spark.createDataFrame([(i, 1, 1, i) for i in range(len(texts))], schema)
+    for field in MATCH_DOC.fields:
+        if field.name not in rows.columns:
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    for i, (date, kick) in enumerate(texts):
+        rows = rows.withColumns({
+            "match_date": F.when(F.col("match_id") == i, F.lit(date)).otherwise(F.col("match_date")),
+            "kick_off": F.when(F.col("match_id") == i, F.lit(kick)).otherwise(F.col("kick_off")),
+        })
+    found = [(r.match_date, r.kickoff_time) for r in match_rows(rows).orderBy("match_id").collect()]
+    day, kick = dt.datetime(2016, 5, 1), dt.datetime(1970, 1, 1, 19, 45)
+    assert found == [(day.replace(hour=15), kick), (day, kick), (None, None), (None, None), (None, None)]
+
+
+def test_first_row_per_key_is_the_same_in_every_run(spark):
+    from touchline.operators.joins import first_per_key
+
+    rows = spark.createDataFrame([(1, 3, "c"), (1, 1, "b"), (1, 2, "a"), (2, None, None), (None, 1, "x")], "k int, o int, v string")
+    for parts in (1, 3):
+        got = {tuple(r) for r in first_per_key(rows.repartition(parts), ["k"], ["o"]).collect()}
+        assert got == {(1, 1, "b"), (2, None, None), (None, 1, "x")}
+
+
+def test_unreadable_documents_fail(spark, tmp_path):
+    import pytest
+
+    from touchline.sources.documents import read_events, read_matches
+
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events" / "7.json").write_text('[{"id": "a", "period": 1}, {"id": "b", ')
+    (tmp_path / "matches" / "1").mkdir(parents=True)
+    (tmp_path / "matches" / "1" / "2.json").write_text('[{"match_id": "seven"}]')
+    for read in (read_events, read_matches):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read(spark, str(tmp_path)).collect()

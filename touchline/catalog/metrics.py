@@ -237,9 +237,10 @@ def fold_summary(spark, folder):
 
 
 @register("quality_label_metrics", S.query("", """
-select avg(pow(n_chars/20000.0::double - quality, 2)) as brier, count(*) as "count" from labels join documents using (doc_id) where n_chars <= 20000""", ["brier"]))
+select avg(pow(least(n_chars/20000.0::double, 1.0) - quality, 2)) as brier, count(*) as "count" from labels join documents using (doc_id)""", ["brier"]))
 def quality_label_metrics(spark, folder):
-    docs = table(spark, folder, "documents").where("n_chars <= 20000").select("doc_id", (F.col("n_chars") / 20000.0).alias("prediction"))
+    share = F.least(F.col("n_chars") / 20000.0, F.lit(1.0))
+    docs = table(spark, folder, "documents").select("doc_id", share.alias("prediction"))
     rows = table(spark, folder, "labels").join(docs, "doc_id")
     return M.probability_metrics(rows, target="quality").select("brier", "count")
 
@@ -247,10 +248,10 @@ def quality_label_metrics(spark, folder):
 @register("bootstrap_ci")
 def bootstrap_ci(spark, folder):
     rows = shots(spark, folder).withColumns({"first": F.col("xg"), "second": F.col("xg") * 0.5 + 0.05})
-    return M.bootstrap_difference(rows, "match_id", "first", "second", replicates=200)
+    return M.bootstrap_difference(rows, "match_id", "first", "second")
 
 
 @register("bootstrap_auc_ci")
 def bootstrap_auc_ci(spark, folder):
     rows = event_shots(spark, folder).withColumns({"first": F.col("xg"), "second": F.col("x")})
-    return M.bootstrap_auc_difference(rows, "match_id", "first", "second", replicates=100)
+    return M.bootstrap_auc_difference(rows, "match_id", "first", "second")

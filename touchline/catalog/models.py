@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline import config as C
@@ -50,7 +51,7 @@ def contextual_model(spark, folder):
 @register("contextual_scores")
 def contextual_scores(spark, folder):
     rows = _training(spark, folder)
-    model = MD.fit_contextual(rows, numeric=["shot_distance", "shot_angle", "statsbomb_xg"], categorical=["set_piece_category"], binary=[])
+    model = MD.fit_contextual(rows)
     return model.score(rows).select("shot_id", "match_id", "is_goal", "cxg_prediction")
 
 
@@ -68,8 +69,7 @@ def bucket_model_metrics(spark, folder):
 @register("neutral_scores")
 def neutral_scores(spark, folder):
     rows = _training(spark, folder)
-    model = MD.fit_contextual(rows, numeric=["shot_distance", "score_diff_at_shot", "minute"], categorical=["pressure_state", "score_state"],
-                              binary=["is_leading", "is_trailing", "is_drawing"])
+    model = MD.fit_contextual(rows)
     return MD.neutral_scores(model, rows).select("shot_id", "cxg_prediction", "neutral_cxg", "opponent_adjusted_diff", "opponent_adjusted_ratio")
 
 
@@ -83,19 +83,22 @@ def style_clusters(spark, folder):
 
 @register("cross_validation")
 def cross_validation(spark, folder):
-    rows = MD.assign_folds(located_shots(spark, folder), "match_id", 3, method="balanced")
-    return MD.fold_metrics(MD.cross_validate(rows, MD.fit_baseline, 3))
+    rows = MD.assign_folds(located_shots(spark, folder), "match_id", 5, method="balanced")
+    return MD.fold_metrics(MD.cross_validate(rows, MD.fit_baseline, 5))
 
 
-@register("fold_balance", S.query(S.L, """
-select count(*) as folds, count(*) filter (rows between 11900 and 12100 or (select count(*) from l) <> 60000) as even_folds from (
-  select fold, sum(n) as rows from (select match_id, count(*) as n, (row_number() over (order by count(*) desc, match_id) - 1)%5 as fold from l group by 1) q
-  group by 1) z"""))
+@register("fold_balance", S.query("recursive " + S.L.strip(), """
+, q as (select row_number() over (order by count(*) desc, match_id) as i, count(*) as n from l group by match_id),
+g as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as loads
+  union all
+  select q.i, [case when j = list_position(loads, list_min(loads)) then loads[j] + q.n else loads[j] end for j in range(1, 6)]
+  from g join q on q.i = g.i + 1)
+select row_number() over (order by n desc) as place, n as rows from (select unnest(loads) as n from g order by i desc limit 5) z"""))
 def fold_balance(spark, folder):
+    """Fold sizes of the greedy rule, largest first."""
     rows = MD.assign_folds(located_shots(spark, folder).select("shot_id", "match_id"), "match_id", 5, method="balanced")
     sizes = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
-    n = rows.agg(F.count(F.lit(1))).scalar()
-    return sizes.agg(F.count(F.lit(1)).alias("folds"), F.count_if(F.abs(F.col("rows") - n / 5) <= n / 600).alias("even_folds"))
+    return sizes.select(F.row_number().over(Window.orderBy(F.desc("rows"))).alias("place"), "rows")
 
 
 @register("isotonic_calibration")
@@ -108,7 +111,7 @@ def isotonic_calibration(spark, folder):
 @register("boosted_scores")
 def boosted_scores(spark, folder):
     rows = located_shots(spark, folder).select("shot_id", "is_goal", "shot_distance", "shot_angle", "xg")
-    model = MD.fit_boosted(rows, ["shot_distance", "shot_angle", "xg"], rounds=5, depth=3)
+    model = MD.fit_boosted(rows, ["shot_distance", "shot_angle", "xg"])
     return MD.score_boosted(model, rows).select("shot_id", "boosted")
 
 
@@ -123,8 +126,7 @@ def enriched_dataset(spark, folder):
 @register("prediction_run")
 def prediction_run(spark, folder):
     rows = PL.filtered(_dataset(spark, folder))
-    model = MD.fit_contextual(rows, numeric=["shot_distance", "shot_angle", "statsbomb_xg", "minute"],
-                              categorical=["assist_category", "pressure_state"], binary=["is_leading"])
+    model = MD.fit_contextual(rows)
     return PL.predict(model, rows)[2]
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.operators.blocks import DEFAULT_POLICY, SplitDecision, SplitPolicy, decide, hot_groups
 
@@ -51,10 +52,23 @@ def with_group_row(df: DataFrame, per_group: DataFrame, by: Sequence[str], const
     return salted_join(df, per_group, [*by, *constant], "inner", spread, policy=policy)
 
 
+def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the first by ``order``, then by the other columns that can be compared, so that every run keeps the same one.
+    The aggregate combines within tasks, so a key may be as hot as it likes."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    plain = [f.name for f in df.schema.fields if f.name in rest and f.name not in order and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in [*order, *plain]]))
+    return df.groupBy(*[F.col(f"`{c}`") for c in key]).agg(first.alias("__first")).select(
+        *[F.col(f"`{c}`") if c in key else F.col("__first").getField(c).alias(c) for c in df.columns]
+    )
+
+
 def attach(base: DataFrame, labels: DataFrame, key: Sequence[str], columns: Sequence[str], spread: Sequence[str] = (),
            policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
     """Left join of one label row per key. The label table is reduced to one row per key first."""
-    slim = labels.select(*key, *columns).dropDuplicates(list(key))
+    slim = first_per_key(labels.select(*key, *columns), key)
     return salted_join(base, slim, key, "left", spread or key, policy=policy)
 
 
@@ -97,7 +111,7 @@ def attach_bucket_prior(shots: DataFrame, priors: DataFrame | None, key: Column,
 
 def insert_if_absent(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the source whose key is not in the target yet, one per key: the rows to append."""
-    return source.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+    return first_per_key(source, keys).join(target.select(*keys), list(keys), "left_anti")
 
 
 def scope(df: DataFrame, allowed: DataFrame | None, keys: Sequence[str], spread: Sequence[str],

@@ -262,7 +262,7 @@ def fit_bucket_model(df: DataFrame, bucket_columns: Sequence[str], xg: str = "st
     scored = model.score(rows, "modeled_prob")
     prefix = "bucket_"
     effects = model.coefficients(df.sparkSession).where(F.col("feature").startswith(prefix)).select(
-        F.substring("feature", len(prefix) + 1, 10_000).alias("bucket"), F.col("coefficient").alias("bucket_logit")
+        F.expr(f"substring(feature, {len(prefix) + 1})").alias("bucket"), F.col("coefficient").alias("bucket_logit")
     )
     table = bucket_table(scored, bucket_columns, effects, xg, target, min_shots)
     metrics = probability_metrics(scored, (), target, "modeled_prob").withColumnRenamed("count", "samples")
@@ -319,17 +319,21 @@ def cluster_styles(df: DataFrame, features: Sequence[str], train: Column, k: int
     return model.transform(assembled).drop("__features", *[f"__z_{f}" for f in features])
 
 
-def fit_isotonic(df: DataFrame, prediction: str, target: str = "is_goal", decimals: int = 4):
-    """Isotonic calibration fitted on score cells: rows are summed per rounded score first, so the fit sees at most
-    10**decimals + 1 weighted points whatever the data size."""
-    cells = df.groupBy(F.round(prediction, decimals).alias("__p")).agg(
+def _rounded(score: str, decimals: int | None):
+    return F.col(score) if decimals is None else F.round(score, decimals)
+
+
+def fit_isotonic(df: DataFrame, prediction: str, target: str = "is_goal", decimals: int | None = None):
+    """Isotonic calibration fitted on distinct scores: rows of one score are summed first. ``decimals`` rounds scores, at the fit and
+    where it is applied, which bounds the points of the fit at the price of a coarser curve."""
+    cells = df.groupBy(_rounded(prediction, decimals).alias("__p")).agg(
         F.avg(F.col(target).cast("double")).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w")
     )
     return IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w", predictionCol="__iso").fit(cells)
 
 
-def apply_isotonic(model, df: DataFrame, prediction: str, output: str = "calibrated", decimals: int = 4) -> DataFrame:
-    scored = model.transform(df.withColumn("__p", F.round(prediction, decimals)))
+def apply_isotonic(model, df: DataFrame, prediction: str, output: str = "calibrated", decimals: int | None = None) -> DataFrame:
+    scored = model.transform(df.withColumn("__p", _rounded(prediction, decimals)))
     return scored.withColumnRenamed("__iso", output).drop("__p")
 
 

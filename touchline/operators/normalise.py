@@ -9,7 +9,7 @@ from touchline.functions.geometry import geometry_columns
 from touchline.functions.numeric import pressure_proxy
 from touchline.functions.timing import clock_seconds, minute_bucket_closed_right
 from touchline.operators.blocks import DEFAULT_POLICY, SplitDecision, SplitPolicy
-from touchline.operators.joins import broadcast_if_small, salted_join
+from touchline.operators.joins import broadcast_if_small, first_per_key, salted_join
 from touchline.operators.sequences import counts_as_goal, possession_features, running_score
 
 _KEY = ["match_id", "event_id"]
@@ -29,9 +29,9 @@ def point(location: Column) -> tuple[Column, Column]:
 
 
 def competition_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("competition_id", "season_id", "competition_name", F.col("season_name").alias("season")).dropDuplicates(
-        ["competition_id", "season"]
-    )
+    order = [c for c in ("doc_seq",) if c in docs.columns]
+    rows = docs.select(*order, "competition_id", "season_id", "competition_name", F.col("season_name").alias("season"))
+    return first_per_key(rows, ["competition_id", "season"], order).select("competition_id", "season_id", "competition_name", "season")
 
 
 def team_rows(matches: DataFrame) -> DataFrame:
@@ -52,14 +52,15 @@ def team_rows(matches: DataFrame) -> DataFrame:
 
 def match_rows(matches: DataFrame) -> DataFrame:
     """Match table: one row per id; dates parse leniently, the kick-off time lands on 1970-01-01."""
-    kickoff = F.concat(F.lit("1970-01-01 "), F.substring("kick_off", 1, 8))
-    date = F.try_to_timestamp(F.substring("match_date", 1, 10), F.lit("yyyy-MM-dd"))
-    return matches.dropDuplicates(["match_id"]).select(
+    clock = F.when(F.col("kick_off").rlike(r"^\d{1,2}:\d{2}$"), F.concat("kick_off", F.lit(":00"))).otherwise(F.col("kick_off"))
+    kickoff = F.when(clock.rlike(r"^\d{1,2}:\d{2}:\d{2}"), F.concat(F.lit("1970-01-01 "), clock).try_cast("timestamp_ntz"))
+    # whole ISO dates or date-times; text with anything else behind is no date
+    date = F.when(F.col("match_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.col("match_date").try_cast("timestamp_ntz"))
+    return first_per_key(matches, ["match_id"]).select(
         "match_id", "competition_id", "season_id", F.col("season.season_name").alias("season"),
         F.coalesce(F.col("home_team.home_team_id"), F.col("home_team.id")).alias("home_team_id"),
         F.coalesce(F.col("away_team.away_team_id"), F.col("away_team.id")).alias("away_team_id"),
-        date.cast("timestamp_ntz").alias("match_date"),
-        F.try_to_timestamp(kickoff, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("kickoff_time"),
+        date.alias("match_date"), kickoff.alias("kickoff_time"),
     )
 
 
@@ -68,8 +69,8 @@ def missing_competitions(matches: DataFrame, competitions: DataFrame) -> DataFra
     seen = matches.select(
         "competition_id", "season_id",
         F.col("competition.competition_name").alias("competition_name"), F.col("season.season_name").alias("season"),
-    ).dropDuplicates(["competition_id", "season"])
-    return seen.join(competitions.select("competition_id", "season"), ["competition_id", "season"], "left_anti")
+    )
+    return first_per_key(seen, ["competition_id", "season"]).join(competitions.select("competition_id", "season"), ["competition_id", "season"], "left_anti")
 
 
 def player_rows(raw: DataFrame) -> DataFrame:

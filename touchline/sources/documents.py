@@ -13,8 +13,9 @@ from touchline.schemas import COMPETITION_DOC, EVENT_DOC, MATCH_DOC
 
 
 def explode_documents(texts: DataFrame, text: str, schema: T.StructType, position: str) -> DataFrame:
-    """Parse JSON arrays of documents and give each element its position in the array."""
-    parsed = F.from_json(F.col(text), T.ArrayType(schema))
+    """Parse JSON arrays of documents and give each element its position in the array. A text that does not parse, or a field of another
+    type, fails the job: a match that vanishes silently would falsify every count after it."""
+    parsed = F.from_json(F.col(text), T.ArrayType(schema), {"mode": "FAILFAST"})
     keep = [c for c in texts.columns if c != text]
     return texts.select(*keep, F.posexplode(parsed).alias(position, "__doc")).select(*keep, position, "__doc.*")
 

@@ -46,13 +46,13 @@ class LiveScorer:
     """Scores the shots of a stream: score before the shot, last trigger, lateness, and optional enrichment.
 
     Input columns: match_id, team_id, seq (total order inside a second), clock (match seconds), type, is_goal. A shot before
-    the latest clock already processed is flagged late; it is reported against the present state and not re-scored.
-    ``keep_batches`` bounds the state: matches without an event for that many batches are forgotten.
+    the latest clock already processed is flagged late and gets no context: what the state holds may lie after it.
+    Nothing is forgotten unless ``keep_batches`` is given: then matches without an event for that many batches are.
     """
 
     root: str
     enrich: Callable[[DataFrame], DataFrame] | None = None
-    keep_batches: int = 10_000
+    keep_batches: int | None = None
     policy: SplitPolicy = DEFAULT_POLICY
 
     def _state_path(self, batch_id: int) -> str:
@@ -98,11 +98,11 @@ class LiveScorer:
         late = F.coalesce(F.col("clock") < F.col("__clock0"), F.lit(False))
         out = joined.withColumns(
             {
-                "score_diff_at_shot": (2 * mine - every).cast("long"),
+                "score_diff_at_shot": F.when(~late, (2 * mine - every).cast("long")),
                 "late": late,
-                "def_event_type": last["type"],
-                "def_team_id": last["team_id"],
-                "seconds_since_def_action": F.col("clock") - last["clock"],
+                "def_event_type": F.when(~late, last["type"]),
+                "def_team_id": F.when(~late, last["team_id"]),
+                "seconds_since_def_action": F.when(~late, F.col("clock") - last["clock"]),
             }
         )
         return out.drop(*[c for c in out.columns if c.startswith("__")])
@@ -118,7 +118,7 @@ class LiveScorer:
                                         "type", F.col("team_id").cast("long").alias("team_id"))).alias("trigger"),
             F.lit(batch_id).cast("long").alias("touched"),
         )
-        kept = state.where(F.col("touched") >= batch_id - self.keep_batches)
+        kept = state if self.keep_batches is None else state.where(F.col("touched") >= batch_id - self.keep_batches)
         return kept.unionByName(fresh).groupBy("match_id", "team_id").agg(
             F.sum("goals").alias("goals"), F.max("clock").alias("clock"), F.max("seq").alias("seq"),
             F.max("trigger").alias("trigger"), F.max("touched").alias("touched"),
