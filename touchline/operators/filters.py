@@ -102,11 +102,15 @@ def evaluation_slices() -> dict[str, tuple[str, Column]]:
     }
 
 
+def slice_names(slices: Mapping[str, tuple[str, Column]] | None = None) -> Column:
+    """The names of the slices that a row is in, as an array."""
+    slices = evaluation_slices() if slices is None else slices
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, (_, cond) in slices.items()]))
+
+
 def explode_slices(df: DataFrame, slices: Mapping[str, tuple[str, Column]] | None = None) -> DataFrame:
     """One row per (row, slice it belongs to), keeping only the slices that apply."""
-    slices = evaluation_slices() if slices is None else slices
-    names = F.array(*[F.when(cond, F.lit(name)) for name, (_, cond) in slices.items()])
-    return df.withColumn("slice", F.explode(F.array_compact(names)))
+    return df.withColumn("slice", F.explode(slice_names(slices)))
 
 
 def drop_empty_features(df: DataFrame, columns: Sequence[str]) -> list[str]:

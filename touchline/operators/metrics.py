@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline import config as C
 from touchline.functions.numeric import clip, edge_bin, linspace
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy, decide_reduced
-from touchline.operators.filters import evaluation_slices, explode_slices
+from touchline.operators.filters import evaluation_slices, slice_names
 from touchline.operators.joins import with_group_row
 from touchline.operators.lift import zero_filled
 from touchline.operators.quantiles import exact_quantiles
@@ -167,6 +167,11 @@ def full_metrics(df: DataFrame, by: Sequence[str], target: str = "is_goal", pred
     counts = df.groupBy(*by, F.col(prediction).alias("score")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
+    return _metrics_of_counts(df, counts, by, policy)
+
+
+def _metrics_of_counts(df: DataFrame, counts: DataFrame, by: Sequence[str], policy: SplitPolicy | SplitDecision) -> DataFrame:
+    """All metrics from the positives and negatives (``pos``, ``neg``) of each distinct score; ``df`` is what was counted."""
     decision = decide_reduced(df, counts, by, policy)
     table = OrderedScan(counts, by, ["score"], decision).running_sum("neg_below", F.col("neg")).result()
     p, n = F.col("score"), F.col("pos") + F.col("neg")
@@ -194,9 +199,15 @@ def full_metrics(df: DataFrame, by: Sequence[str], target: str = "is_goal", pred
 def slice_metrics(df: DataFrame, by: Sequence[str] = ("model",), target: str = "is_goal",
                   prediction: str = "prediction", slices: Mapping[str, tuple[str, Column]] | None = None,
                   min_rows: int = C.MIN_SLICE_ROWS, policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
-    """Metrics per model and slice; slices below ``min_rows`` are left out."""
-    rows = explode_slices(df, slices)
-    return full_metrics(rows, [*by, "slice"], target, prediction, policy).where(F.col("count") >= min_rows)
+    """Metrics per model and slice; slices below ``min_rows`` are left out. Rows are counted by score and by the slices they are in, so
+    they meet in one shuffle; only these counts are then handed to each slice."""
+    y, keys = _target(target), [*by, "slice"]
+    cells = df.select(*by, slice_names(slices).alias("__slices"), F.col(prediction).alias("score"), y.alias("__y")).groupBy(
+        *by, "__slices", "score"
+    ).agg(F.count_if(F.col("__y") == 1).alias("pos"), F.count_if(F.col("__y") == 0).alias("neg"))
+    cells = cells.select(*by, F.explode("__slices").alias("slice"), "score", "pos", "neg")
+    counts = cells.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _metrics_of_counts(cells, counts, keys, policy).where(F.col("count") >= min_rows)
 
 
 def with_slice_description(metrics: DataFrame) -> DataFrame:
