@@ -9,12 +9,23 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
 KNOWN_WORDS = 500_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """``json_text``: the tokenizer's file, so that executors need no path. ``__call__`` gives one uint32 array for each text."""
 
@@ -23,6 +34,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._encoder, self._bound = Tokenizer.from_str(json_text), bound
+        self._model = self._encoder.model
         spec = json.loads(json_text)
         model = spec["model"]
         # a file that drops white space joins words of any place; the byte-level one keeps the blank before a word
@@ -67,7 +79,16 @@ class Encoder:
         words = [w for w in words if w not in known]
         # a full stop or comma after a letter is a piece of its own
         stems = {w: w[:-1] if w[-1:] in ".," and w[-2:-1].isalpha() else w for w in words}
-        new = [w for w in {*stems.values()} if w not in known and w and w == w.strip()]
+        new = []
+        for w in {*stems.values()}:
+            if w in known or not w:
+                continue
+            if w.isalpha() and (w.isascii() or max(w) <= "\xff"):
+                # letters are one piece for the merges, so these can be asked for without the steps before them
+                raw = ((before + w).encode() if not self._drops else w.lower().encode()).decode("latin-1").translate(_LETTERS)
+                known[w] = array("I", [t.id for t in self._model.tokenize(raw)]).tobytes()
+            elif w == w.strip():
+                new.append(w)
         known.update(zip(new, self._bytes([before + w for w in new]), strict=True))
         for w, stem in stems.items():
             if w is not stem:
