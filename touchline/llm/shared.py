@@ -24,6 +24,19 @@ def bitmap(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     return table
 
 
+def most_frequent(counts: DataFrame, most: int, count: str = "c") -> list:
+    """The rows of largest ``count``, ``most`` at most and without breaking a tie: counts are cut at one of some thousand steps of their
+    logarithm, so neither the search for the cut nor its result grows with the table. A sorted limit would send ``most`` rows from each task."""
+    step = F.floor(F.log2(count) * 64)
+    left, cut = most, None
+    for row in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.s):
+        left -= row.n
+        if left < 0:
+            break
+        cut = row.s
+    return counts.where(step >= cut).collect() if cut is not None else []
+
+
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """Smallest vertex that each vertex of ``edges`` can reach: large-star and small-star steps on tables until nothing changes.
     Each round is written to the shared folder, so lineage stays short. Returns ``v`` and ``root``; vertices are longs."""

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.llm.quality_classifier import summed
+from touchline.llm.shared import most_frequent
 from touchline.llm.text import UPPER, LOWER
 
 DICTIONARY = 50_000
@@ -139,8 +140,7 @@ def page_words(pages: DataFrame, html: str = "html", most: int = DICTIONARY) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
     words = pages.select(F.col(f"`{html}`").cast("string").alias("t")).mapInArrow(work, "word string, c bigint")
-    top = words.groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(most)
-    return {r.word: r.c for r in top.collect()}
+    return {r.word: r.c for r in most_frequent(words.groupBy("word").agg(F.sum("c").alias("c")), most)}
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
