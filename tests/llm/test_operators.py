@@ -354,3 +354,11 @@ def test_license_stretches_against_scan(spark):
         grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
         want = sorted(n for n, o in own.items() if any(g in o and 100 * len(set(grams[k : k + 2 * len(o)]) & o) >= 80 * len(o) for k, g in enumerate(grams)))
         assert found[i] == ",".join(want), t
+
+
+def test_most_frequent_rows_keep_ties_together(spark):
+    from touchline.llm.shared import most_frequent
+
+    counts = spark.createDataFrame([(w, c) for c in (1, 1, 1, 5, 5, 9) for w in ("a",)], "word string, c bigint")
+    for most, want in ((0, []), (1, [9]), (2, [9]), (3, [5, 5, 9]), (5, [5, 5, 9]), (6, [1, 1, 1, 5, 5, 9])):
+        assert sorted(r.c for r in most_frequent(counts, most)) == want
