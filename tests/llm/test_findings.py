@@ -15,3 +15,16 @@ def test_lm_learns_from_texts_of_any_hash(spark):
     docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) != 0)
     row = L.document_scores(docs).agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > 0.8 * row[1]  # logarithms: the unigram model's are lower
+
+
+def test_lm_vocabulary_grows_with_the_corpus():
+    own = {}
+    for times in (1, 100):
+        head = [(b"w%d" % i, max(1, 100_000 * times // (i + 1))) for i in range(50_000)]
+        words = L.Vocabulary(head, 10, 10 + sum(c for _, c in head), 50_001)
+        own[times] = len(words.counts) - 2
+        assert list(words.outputs(np.array([own[times] - 1, own[times], -1]))) == [own[times] + 1, 1, 1, 0]
+        assert words.counts.sum() == words.tokens
+        classes = len(L.Network(words.counts).bounds) - 1
+        assert 0.5 * np.sqrt(own[times]) < classes < 2 * np.sqrt(own[times])
+    assert own[1] > 2000 and own[100] > 5 * own[1]
