@@ -28,3 +28,11 @@ def test_lm_vocabulary_grows_with_the_corpus():
         classes = len(L.Network(words.counts).bounds) - 1
         assert 0.5 * np.sqrt(own[times]) < classes < 2 * np.sqrt(own[times])
     assert own[1] > 2000 and own[100] > 5 * own[1]
+
+
+def test_lm_spreads_copies_over_parts(spark):
+    words = L.Vocabulary([(b"a", 2000), (b"b", 1000)], 1000, 4000, 3)
+    docs = spark.createDataFrame([(7, "a b a")] * 1000, "doc_id long, text string")
+    rows = L.coded(docs, "doc_id", "text", spark.sparkContext.broadcast(words))
+    sizes = [r["count"] for r in rows.groupBy(F.pmod("h", F.lit(8))).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 200
