@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from touchline.llm import license_scan as S
 from touchline.llm import lm_scoring as L
 
 
@@ -36,3 +37,22 @@ def test_lm_spreads_copies_over_parts(spark):
     rows = L.coded(docs, "doc_id", "text", spark.sparkContext.broadcast(words))
     sizes = [r["count"] for r in rows.groupBy(F.pmod("h", F.lit(8))).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 200
+
+
+def test_license_bodies_edited_and_across_windows(spark):
+    rng = random.Random(4)
+    bodies = [(name, text) for _, name, text in S.BODIES]
+    docs, want = [], []
+    for name, text in bodies:
+        for lead in (0, 100, 500):
+            words = text.split()
+            words[-3] = "edited"
+            docs.append(" ".join(f"w{rng.randrange(999)}" for _ in range(lead)) + " " + " ".join(words) + " tail of it")
+            want.append(name)
+    for text, names in (("Licensed under the MIT license", "MIT"), ("// SPDX-License-Identifier: MIT\nint a;", "MIT"), ("All rights reserved.", ""),
+                        ("# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "BSD-3-Clause,GPL-2.0-only"),
+                        (f"{bodies[-2][1]} {'and then ' * 100} {bodies[6][1]}", f"{bodies[-2][0]},{bodies[6][0]}")):
+        docs.append(text)
+        want.append(names)
+    found = {r.doc_id: r.licenses for r in S.licenses(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(docs))] == [",".join(sorted(w.split(","))) for w in want]
