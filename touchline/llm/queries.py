@@ -15,6 +15,7 @@ from touchline.llm import packing as K
 from touchline.llm import pii as P
 from touchline.llm import quality_classifier as C
 from touchline.llm import quality_rules as Q
+from touchline.llm import token_counts as T
 from touchline.llm import token_output as O
 from touchline.llm import url_filters as U
 from touchline.llm.tokens import public
@@ -196,3 +197,8 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
     path = O.token_files(table(spark, folder, "documents"), public("byte_bpe_50k.json"))
     return O.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register("op13_token_counts")
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return T.token_counts(table(spark, folder, "documents"), public("byte_bpe_50k.json"), limit=1024)
