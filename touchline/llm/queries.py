@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontamination as D
+from touchline.llm import hard_negatives as H
 from touchline.llm import jaccard_join as J
 from touchline.llm import license_scan as S
 from touchline.llm import lm_scoring as L
@@ -202,3 +203,31 @@ def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
 @register("op13_token_counts")
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return T.token_counts(table(spark, folder, "documents"), public("byte_bpe_50k.json"), limit=1024)
+
+
+HARD_NEGATIVES_SQL = """
+with v as (
+  select vec_id as id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, [floor(256 * x::double) for x in embedding] as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+anchors as (select distinct id, label, q from v where id % 100 = 0),
+positives as (
+  select * from (
+    select *, row_number() over (partition by anchor_id, label, q order by score desc, positive_id) as place
+    from (select a.id as anchor_id, a.label, a.q, b.id as positive_id, list_inner_product(a.q, b.q)::bigint as score
+      from anchors a join v b on a.label = b.label and a.id <> b.id))
+  where place <= 5),
+negatives as (
+  select anchor_id, positive_id, score as positive_score, b.id as negative_id, list_inner_product(p.q, b.q)::bigint as negative_score, p.label, p.q, p.place
+  from positives p join v b on p.label <> b.label),
+ranked as (
+  select *, row_number() over (partition by anchor_id, label, q, place order by negative_score desc, negative_id) as r
+  from negatives where 30 * positive_score <= 100 * negative_score and 100 * negative_score <= 90 * positive_score)
+select anchor_id, positive_id, r::int as rank, negative_id, positive_score, negative_score from ranked where r <= 10
+"""
+
+
+@register("op12_hard_negatives", HARD_NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return H.hard_negatives(table(spark, folder, "embeddings"), label, F.col("_id") % 100 == 0)
