@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.llm import collocations as N
 from touchline.llm import decontamination as D
 from touchline.llm import hard_negatives as H
 from touchline.llm import jaccard_join as J
@@ -231,3 +232,35 @@ select anchor_id, positive_id, r::int as rank, negative_id, positive_score, nega
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return H.hard_negatives(table(spark, folder, "embeddings"), label, F.col("_id") % 100 == 0)
+
+
+COLLOCATIONS_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+split as (select lang, [x for x in regexp_split_to_array(p, '[\x20\x09]+') if x <> ''] as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from split group by lang),
+grams as (select lang, size, unnest([array_to_string(ws[i:i + size - 1], ' ') for i in range(1, len(ws) - size + 2)]) as phrase
+  from split, (values (1), (2), (3)) as sizes(size) where len(ws) >= size),
+counts as materialized (select lang, size, phrase, count(*)::bigint as f from grams group by all having count(*) >= 10),
+parts as materialized (
+  select lang, phrase, f as a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') as head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as tail
+  from counts join (values (1), (2)) as ks(k) on k < size),
+cuts as (
+  select p.lang, p.phrase, a, k, l.f as l, r.f as r, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint as score
+  from parts p join counts l on l.lang = p.lang and l.phrase = p.head join counts r on r.lang = p.lang and r.phrase = p.tail),
+best as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as o from cuts) where o = 1),
+around as (
+  select lang, phrase, max(f) as f from (
+    select lang, f, unnest([array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') for i in [1, 2]]) as phrase from counts where size = 3)
+  group by lang, phrase),
+kept as (select b.* from best b left join around o on o.lang = b.lang and o.phrase = b.phrase where o.f is null or 100 * o.f < 50 * b.a)
+select * from (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept join totals using (lang))
+where rank <= 2000
+"""
+
+
+@register("op11_collocations", COLLOCATIONS_SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return N.collocations(table(spark, folder, "documents"))
