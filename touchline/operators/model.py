@@ -1,20 +1,19 @@
-"""Goal-probability models on Spark ML: geometry baseline, contextual model, bucket sub-models, style clusters.
+"""Goal-probability models on Spark: geometry baseline, contextual model, bucket sub-models, style clusters.
 
-Fitting is the only eager step. Constants (medians, modes, means, deviations) come from aggregates, the linear model from
-distributed L-BFGS. An L2 strength ``c`` in the common convention is ``regParam = 1 / (c * rows)`` here, the intercept is
-not penalised, and features are scaled with the population deviation before the fit.
+Fitting is the only eager step. The linear models are fitted side by side in ``newton``; bucket models on counted cells, here.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -23,144 +22,26 @@ from pyspark.sql import functions as F
 from touchline import config as C
 from touchline.functions.labels import bucket_key
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy
-from touchline.operators.filters import drop_empty_features
-from touchline.operators.metrics import full_metrics, probability_metrics
-from touchline.operators.quantiles import medians
+from touchline.operators.metrics import brier_term, full_metrics, log_loss_term
+from touchline.operators.newton import MAX_STEPS, SMALL_STEP, FeatureContract, FittedModel, ModelSpec, fit_models, probability
+from touchline.plans.staging import written
 
 
-@dataclass
-class FeatureContract:
-    """What a model needs to score: column lists and the model's name. Stored next to the pipeline."""
+def baseline_spec(df: DataFrame | None = None, c: float = 1.0, where: Column | None = None) -> ModelSpec:
+    contract = FeatureContract("baseline_geometry", numeric=["shot_distance", "shot_angle"])
+    known = _has(contract.numeric)
+    return ModelSpec(contract, c, where=known if where is None else known & where)
 
-    model_type: str
-    numeric: list[str] = field(default_factory=list)
-    binary: list[str] = field(default_factory=list)
-    categorical: list[str] = field(default_factory=list)
-    rows: int = 0
 
-    @property
-    def columns(self) -> list[str]:
-        return [*self.numeric, *self.binary, *self.categorical]
+def fit_baseline(df: DataFrame, target: str = "is_goal", c: float = 1.0) -> FittedModel:
+    """Logistic model on distance and angle, fitted on the shots that have both."""
+    return fit_models(df, [baseline_spec(c=c)], target)[0]
 
 
-@dataclass
-class FittedModel:
-    pipeline: PipelineModel
-    contract: FeatureContract
-    names: list[str]
-
-    @property
-    def linear(self):
-        return self.pipeline.stages[-1]
-
-    def score(self, df: DataFrame, output: str = "cxg_prediction") -> DataFrame:
-        """Add the probability column; all other columns stay as they are."""
-        missing = sorted(set(self.contract.columns) - set(df.columns))
-        if missing:
-            raise ValueError(f"missing feature columns: {missing}")
-        typed = {f"__raw_{c}": F.col(c).cast("double") for c in [*self.contract.numeric, *self.contract.binary]}
-        typed |= {f"__raw_{c}": F.col(c).cast("string") for c in self.contract.categorical}
-        scored = self.pipeline.transform(df.withColumns(typed))
-        return scored.select(*df.columns, vector_to_array("__probability")[1].alias(output))
-
-    def coefficients(self, spark) -> DataFrame:
-        """Feature, coefficient and absolute value: one row per model input."""
-        values = [float(v) for v in self.linear.coefficients.toArray()]
-        rows = [(n, v, abs(v)) for n, v in zip(self.names, values, strict=True)]
-        return spark.createDataFrame(rows, "feature string, coefficient double, abs_coefficient double")
-
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        meta = json.dumps({**asdict(self.contract), "names": self.names})
-        _spark().createDataFrame([(meta,)], "value string").write.mode("overwrite").text(f"{path}/contract")
-
-    @staticmethod
-    def load(path: str) -> FittedModel:
-        meta = json.loads(_spark().read.text(f"{path}/contract").first()[0])
-        names = meta.pop("names")
-        return FittedModel(PipelineModel.load(f"{path}/pipeline"), FeatureContract(**meta), names)
-
-
-def _spark():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
-
-
-def _filled_moments(rows: int, known: int, mean: float, std: float, fill: float) -> tuple[float, float]:
-    """Mean and population deviation after the missing values take ``fill``; a constant column is left unscaled."""
-    missing = rows - known
-    whole = (known * mean + missing * fill) / rows
-    spread = (known * (std * std + (mean - whole) ** 2) + missing * (fill - whole) ** 2) / rows
-    return whole, spread**0.5 or 1.0
-
-
-def _fit(df: DataFrame, contract: FeatureContract, target: str, c: float, scale: bool = True) -> FittedModel:
-    numeric, binary, categorical = contract.numeric, contract.binary, contract.categorical
-    rows = df.select(
-        F.col(target).cast("double").alias("__label"),
-        *[F.col(n).cast("double").alias(f"__raw_{n}") for n in [*numeric, *binary]],
-        *[F.col(n).cast("string").alias(f"__raw_{n}") for n in categorical],
-    )
-    exprs: list[str] = []
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for n in numeric:
-        raw = F.col(f"__raw_{n}")
-        aggs += [F.count(raw).alias(f"count_{n}"), F.avg(raw).alias(f"mean_{n}"), F.stddev_pop(raw).alias(f"std_{n}")]
-    for n in [*binary, *categorical]:
-        aggs.append(F.mode(F.col(f"__raw_{n}"), deterministic=True).alias(f"mode_{n}"))
-    fitted = rows.agg(*aggs).first().asDict()
-    gaps = [n for n in numeric if fitted[f"count_{n}"] < fitted["n"]]
-    mids = medians(rows, [f"__raw_{n}" for n in gaps]).first().asDict() if gaps else {}
-    for n in numeric:
-        fill = mids.get(f"__raw_{n}", 0.0)
-        mean, std = _filled_moments(fitted["n"], fitted[f"count_{n}"], fitted[f"mean_{n}"], fitted[f"std_{n}"], fill)
-        if not scale:
-            mean, std = 0.0, 1.0
-        exprs.append(f"(coalesce(`__raw_{n}`, {fill!r}D) - {mean!r}D) / {std!r}D AS `__in_{n}`")
-    for n in binary:
-        exprs.append(f"coalesce(`__raw_{n}`, {fitted[f'mode_{n}']!r}D) AS `__in_{n}`")
-    for n in categorical:
-        mode = str(fitted[f"mode_{n}"]).replace("\\", "\\\\").replace("'", "\\'")
-        exprs.append(f"coalesce(`__raw_{n}`, '{mode}') AS `__in_{n}`")
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
-    inputs = [f"__in_{n}" for n in [*numeric, *binary]]
-    if categorical:
-        # an unseen category takes the extra slot, which the encoder drops: all zeros
-        index = StringIndexer(
-            inputCols=[f"__in_{n}" for n in categorical], outputCols=[f"__ix_{n}" for n in categorical],
-            handleInvalid="keep", stringOrderType="alphabetAsc",
-        )
-        encode = OneHotEncoder(
-            inputCols=[f"__ix_{n}" for n in categorical], outputCols=[f"__oh_{n}" for n in categorical], dropLast=True
-        )
-        stages += [index, encode]
-        inputs += [f"__oh_{n}" for n in categorical]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="__features"))
-    stages.append(
-        LogisticRegression(
-            featuresCol="__features", labelCol="__label", probabilityCol="__probability",
-            rawPredictionCol="__margin", predictionCol="__class", regParam=1.0 / (c * fitted["n"]),
-            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-7,
-        )
-    )
-    # every pass of the optimiser reads all rows: spread them evenly once, whatever partitions the input came in
-    even = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    pipeline = Pipeline(stages=stages).fit(even)
-    names = [*numeric, *binary]
-    if categorical:
-        indexer = pipeline.stages[1]
-        for n, labels in zip(categorical, indexer.labelsArray, strict=True):
-            names += [f"{n}_{label}" for label in labels]
-    contract.rows = int(fitted["n"])
-    return FittedModel(pipeline, contract, names)
-
-
-def fit_baseline(df: DataFrame, target: str = "is_goal", c: float = 1.0) -> FittedModel:
-    """Logistic model on distance and angle."""
-    numeric = ["shot_distance", "shot_angle"]
-    rows = df.dropna(subset=[*numeric, target])
-    return _fit(rows, FeatureContract("baseline_geometry", numeric=numeric), target, c)
+def contextual_spec(df: DataFrame, c: float = 0.5, where: Column | None = None, numeric: Sequence[str] = C.NUMERIC_FEATURES,
+                    binary: Sequence[str] = C.BINARY_FEATURES, categorical: Sequence[str] = C.CATEGORICAL_FEATURES) -> ModelSpec:
+    present = [[n for n in names if n in df.columns] for names in (numeric, binary, categorical)]
+    return ModelSpec(FeatureContract("contextual_logistic", *present), c, where=where, skip_empty=True)
 
 
 def fit_contextual(df: DataFrame, target: str = "is_goal", c: float = 0.5, numeric: Sequence[str] = C.NUMERIC_FEATURES,
@@ -168,16 +49,16 @@ def fit_contextual(df: DataFrame, target: str = "is_goal", c: float = 0.5, numer
                    categorical: Sequence[str] = C.CATEGORICAL_FEATURES) -> FittedModel:
     """Contextual model: median-imputed scaled numerics, mode-imputed flags, mode-imputed one-hot categories.
 
-    Columns that are absent or entirely null are left out, in one pass.
+    Columns that are absent or entirely null are left out.
     """
-    usable = set(drop_empty_features(df, [*numeric, *binary, *categorical]))
-    contract = FeatureContract(
-        "contextual_logistic",
-        [x for x in numeric if x in usable], [x for x in binary if x in usable], [x for x in categorical if x in usable],
-    )
-    if not contract.columns:
-        raise ValueError("no usable feature columns")
-    return _fit(df.dropna(subset=[target]), contract, target, c)
+    return fit_models(df, [contextual_spec(df, c, None, numeric, binary, categorical)], target)[0]
+
+
+def _has(columns: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
 
 
 # ---- cross validation -------------------------------------------------------------------------------------------
@@ -231,14 +112,17 @@ def assign_folds(df: DataFrame, group: str = "match_id", k: int = 5, method: str
     return df.join(folds, group, "left")
 
 
-def cross_validate(df: DataFrame, fit: Callable[[DataFrame], FittedModel], k: int = 5, target: str = "is_goal",
+def cross_validate(df: DataFrame, fit: Callable[[DataFrame], FittedModel] = fit_baseline, k: int = 5, target: str = "is_goal",
                    fold: str = "fold", output: str = "prediction") -> DataFrame:
-    """Out-of-fold predictions. The driver loops over folds; every fit and score is a distributed job."""
-    parts = [fit(df.where(F.col(fold) != i)).score(df.where(F.col(fold) == i), output) for i in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Out-of-fold predictions. For the linear models of this module the models of all folds are fitted side by side, each on the other
+    folds' rows, and score in one pass; any other ``fit`` is called once a fold."""
+    spec = {fit_baseline: baseline_spec, fit_contextual: contextual_spec}.get(fit)
+    if spec is None:
+        parts = [fit(df.where(F.col(fold) != i)).score(df.where(F.col(fold) == i), output) for i in range(k)]
+        return reduce(DataFrame.unionByName, parts)
+    models = fit_models(df, [spec(df, where=F.col(fold) != i) for i in range(k)], target)
+    chosen = F.coalesce(*[F.when(F.col(fold) == i, probability(m.margin())) for i, m in enumerate(models)])
+    return df.where(F.col(fold).between(0, k - 1)).withColumn(output, chosen)
 
 
 def fold_metrics(out_of_fold: DataFrame, target: str = "is_goal", fold: str = "fold",
@@ -249,24 +133,116 @@ def fold_metrics(out_of_fold: DataFrame, target: str = "is_goal", fold: str = "f
 # ---- bucket sub-models ------------------------------------------------------------------------------------------
 
 
+@dataclass
+class BucketSpec:
+    """A bucket model: the columns that make a bucket, those that may not be null, and the least shots of a reported bucket."""
+
+    name: str
+    columns: list[str]
+    min_shots: int = 25
+    required: list[str] = field(default_factory=list)
+    c: float = 1.0
+
+
+def bucket_cells(df: DataFrame, specs: Sequence[BucketSpec], xg: str = "statsbomb_xg", target: str = "is_goal", fold: str | None = None) -> DataFrame:
+    """The rows of all bucket models as counted cells (fold, model, bucket, xg, goal, shots), by one pass of grouping sets. Nothing is
+    lost: a model sees its rows through these values alone."""
+    keys = [f"__b{k}" for k in range(len(specs))]
+    labels = [F.to_json(F.array(*[F.coalesce(F.col(b).cast("string"), F.lit(C.UNKNOWN)) for b in s.columns])) for s in specs]
+    rows = df.where(F.col(xg).isNotNull() & F.col(target).isNotNull()).select(
+        (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"), F.col(xg).cast("double").alias("xg"), F.col(target).cast("double").alias("goal"),
+        *[F.when(_has(s.required), label).alias(key) for s, label, key in zip(specs, labels, keys, strict=True)],
+    )
+    sets = [[F.col("fold"), F.col("xg"), F.col("goal"), F.col(key)] for key in keys]
+    cells = rows.groupingSets(sets, "fold", "xg", "goal", *keys).agg(F.count(F.lit(1)).cast("double").alias("shots"))
+    model = F.coalesce(*[F.when(F.col(key).isNotNull(), F.lit(k)) for k, key in enumerate(keys)])
+    # a row that a model leaves out has no bucket there
+    return cells.select("fold", model.alias("model"), F.coalesce(*keys).alias("bucket"), "xg", "goal", "shots").where(F.col("model").isNotNull())
+
+
+def fit_bucket_models(df: DataFrame, specs: Sequence[BucketSpec], xg: str = "statsbomb_xg", target: str = "is_goal", folds: int = 0,
+                      fold: str = "fold") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Bucket effects next to xG of all ``specs``: (a bucket table for each, a row of fit metrics for each model).
+
+    The cells are written once. A Newton step sums them by model and bucket; the system is an arrow (xG and intercept beside one independent
+    effect a bucket), so it is solved by eliminating the buckets. What reaches the driver are a few sums a bucket, a label vocabulary.
+    With ``folds`` there is a model for each held-out fold as well, named in the column ``held``, fitted on the cells of the other folds.
+    """
+    spark = df.sparkSession
+    cells = written(bucket_cells(df, specs, xg, target, fold if folds else None))
+    held = F.filter(F.array(*[F.lit(i) for i in range(folds)]), lambda i: i != F.col("fold")) if folds else F.array(F.lit(-1))
+    cells = cells.withColumn("held", F.explode(held))
+    key = ["held", "model", "bucket"]
+    names = [tuple(r) for r in cells.select(*key).distinct().orderBy(*key).collect()]
+    base = {(h, m): np.zeros(2) for h, m, _ in names}
+    effects = dict.fromkeys(names, 0.0)
+
+    def scored() -> DataFrame:
+        rows = [(h, m, b, float(base[h, m][0] + v), float(base[h, m][1])) for (h, m, b), v in effects.items()]
+        table = spark.createDataFrame(rows, "held int, model int, bucket string, __a double, __s double")
+        return cells.join(F.broadcast(table), key).withColumn("p", probability(F.col("__a") + F.col("__s") * F.col("xg")))
+
+    w, gap, x = F.col("shots") * F.col("p") * (1 - F.col("p")), F.col("shots") * (F.col("p") - F.col("goal")), F.col("xg")
+    for _ in range(MAX_STEPS if names else 0):
+        sums = scored().groupBy(*key).agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"), F.sum(gap).alias("g"), F.sum(gap * x).alias("gx")).collect()
+        own: dict[tuple[int, int], list] = {}
+        for r in sums:
+            own.setdefault((r["held"], r["model"]), []).append(r)
+        move = 0.0
+        for (h, m), rows in own.items():
+            ridge = 1.0 / specs[m].c
+            cross = sum(r["wx"] for r in rows)
+            curve = np.array([[sum(r["w"] for r in rows), cross], [cross, sum(r["wxx"] for r in rows) + ridge]])
+            slope = np.array([sum(r["g"] for r in rows), sum(r["gx"] for r in rows) + ridge * base[h, m][1]])
+            for r in rows:
+                arm, pivot = np.array([r["w"], r["wx"]]), r["w"] + ridge
+                curve -= np.outer(arm, arm) / pivot
+                slope -= arm * (r["g"] + ridge * effects[h, m, r["bucket"]]) / pivot
+            step = -np.linalg.lstsq(curve, slope, rcond=None)[0]
+            for r in rows:
+                old = effects[h, m, r["bucket"]]
+                change = -(r["g"] + ridge * old + r["w"] * step[0] + r["wx"] * step[1]) / (r["w"] + ridge)
+                effects[h, m, r["bucket"]] = old + change
+                move = max(move, abs(change))
+            base[h, m] = base[h, m] + step
+            move = max(move, *np.abs(step).tolist())
+        if move < SMALL_STEP:
+            break
+    sums = written(scored().groupBy(*key).agg(
+        F.sum("shots").cast("long").alias("shots"), F.sum(F.col("shots") * F.col("goal")).cast("long").alias("goals"), F.sum(F.col("shots") * x).alias("xg_total"),
+        (F.sum(F.col("shots") * F.col("p")) / F.sum("shots")).alias("modeled_prob"),
+        F.sum(F.col("shots") * brier_term(F.col("goal"), F.col("p"))).alias("brier"), F.sum(F.col("shots") * log_loss_term(F.col("goal"), F.col("p"))).alias("log_loss"),
+    ))
+    logits = spark.createDataFrame([(*n, float(v)) for n, v in effects.items()], "held int, model int, bucket string, bucket_logit double")
+    shown = sums.join(F.broadcast(logits), key)
+    tables = {}
+    for k, s in enumerate(specs):
+        labels = F.from_json("bucket", "array<string>")
+        rows = shown.where((F.col("model") == k) & (F.col("shots") >= s.min_shots)).withColumns({c: labels[i] for i, c in enumerate(s.columns)})
+        tables[s.name] = _effects(rows, [*(["held"] if folds else []), *s.columns])
+    shots = F.sum("shots")
+    metrics = sums.groupBy("held", "model").agg(
+        shots.cast("long").alias("samples"), (F.sum("brier") / shots).alias("brier"), (F.sum("log_loss") / shots).alias("log_loss"),
+        (F.sum("goals") / shots).alias("goal_rate"), (F.sum(F.col("shots") * F.col("modeled_prob")) / shots).alias("mean_prediction"),
+    )
+    name = F.element_at(F.array(*[F.lit(s.name) for s in specs]), F.col("model") + 1)
+    return tables, metrics.withColumn("model", name) if folds else metrics.withColumn("model", name).drop("held")
+
+
+def _effects(grouped: DataFrame, columns: Sequence[str]) -> DataFrame:
+    out = grouped.withColumns({"goal_rate": F.col("goals") / F.col("shots"), "xg_per_shot": F.col("xg_total") / F.col("shots")})
+    out = out.withColumns({"lift_vs_xg": F.col("goal_rate") - F.col("xg_per_shot"), "lift_vs_model": F.col("goal_rate") - F.col("modeled_prob"), "odds_multiplier": F.exp("bucket_logit")})
+    return out.select(*columns, "shots", "goals", "xg_total", "modeled_prob", "goal_rate", "xg_per_shot", "lift_vs_xg", "lift_vs_model", "bucket_logit", "odds_multiplier")
+
+
 def fit_bucket_model(df: DataFrame, bucket_columns: Sequence[str], xg: str = "statsbomb_xg", target: str = "is_goal",
                      min_shots: int = 25, c: float = 1.0, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Bucket effect next to xG: (bucket table, one row of fit metrics).
 
     The coefficient of a bucket is its log-odds offset and its exponential the odds multiplier.
     """
-    rows = df.dropna(subset=[xg, target, *required]) if required else df.dropna(subset=[xg, target])
-    rows = rows.withColumns({b: F.coalesce(F.col(b), F.lit(C.UNKNOWN)) for b in bucket_columns})
-    rows = rows.withColumn("bucket", bucket_key(*[F.col(b) for b in bucket_columns]))
-    model = _fit(rows, FeatureContract("bucket", numeric=[xg], categorical=["bucket"]), target, c, scale=False)
-    scored = model.score(rows, "modeled_prob")
-    prefix = "bucket_"
-    effects = model.coefficients(df.sparkSession).where(F.col("feature").startswith(prefix)).select(
-        F.expr(f"substring(feature, {len(prefix) + 1})").alias("bucket"), F.col("coefficient").alias("bucket_logit")
-    )
-    table = bucket_table(scored, bucket_columns, effects, xg, target, min_shots)
-    metrics = probability_metrics(scored, (), target, "modeled_prob").withColumnRenamed("count", "samples")
-    return table, metrics
+    tables, metrics = fit_bucket_models(df, [BucketSpec("bucket", list(bucket_columns), min_shots, list(required), c)], xg, target)
+    return tables["bucket"], metrics.drop("model")
 
 
 def bucket_table(scored: DataFrame, bucket_columns: Sequence[str], effects: DataFrame, xg: str = "statsbomb_xg",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +15,7 @@ from touchline.operators.blocks import DEFAULT_POLICY, SplitDecision, SplitPolic
 from touchline.operators.filters import apply_modelling_filters
 from touchline.operators.joins import attach_bucket_prior, attach_side_prior
 from touchline.operators.metrics import provider_prediction, slice_metrics, with_slice_description
-from touchline.operators.model import FittedModel, cluster_styles, fit_bucket_model
+from touchline.operators.model import BucketSpec, FittedModel, cluster_styles, fit_bucket_models
 from touchline.operators.reports import match_table, season_table
 from touchline.plans.staging import written
 
@@ -49,14 +48,6 @@ def trigger_buckets(df: DataFrame) -> DataFrame:
 # ---- sub-models -------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class BucketSpec:
-    name: str
-    columns: list[str]
-    min_shots: int
-    required: list[str]
-
-
 BUCKET_SPECS = [
     BucketSpec("set_piece", C.SET_PIECE_BUCKET, 15, ["set_piece_category"]),
     BucketSpec("assist_quality", C.ASSIST_BUCKET, 25, []),
@@ -66,11 +57,9 @@ BUCKET_SPECS = [
 
 
 def bucket_priors(dataset: DataFrame, angle_unit: str = "radians") -> dict[str, DataFrame]:
-    """The four bucket tables, each from its own fit, written once: every later use reads a few rows."""
-    rows = trigger_buckets(pressure_buckets(dataset, angle_unit))
-    return {
-        s.name: written(fit_bucket_model(rows, s.columns, min_shots=s.min_shots, required=s.required)[0]) for s in BUCKET_SPECS
-    }
+    """The four bucket tables, fitted side by side from one scan of the dataset and written once: every later use reads a few rows."""
+    tables, _ = fit_bucket_models(trigger_buckets(pressure_buckets(dataset, angle_unit)), BUCKET_SPECS)
+    return {name: written(table) for name, table in tables.items()}
 
 
 def side_priors(dataset: DataFrame, possessions: DataFrame, events: DataFrame, include_holdout: bool = False,
@@ -99,9 +88,12 @@ def enrich(dataset: DataFrame, sides: DataFrame | None, buckets: dict[str, DataF
 
 def enrich_out_of_fold(dataset: DataFrame, sides: DataFrame | None, k: int = 5, fold: str = "fold",
                        angle_unit: str = "radians") -> DataFrame:
-    """Bucket priors without target leakage: the rows of a fold get the priors fitted on the other folds."""
+    """Bucket priors without target leakage: the rows of a fold get the priors fitted on the other folds. All folds' models are
+    fitted side by side from one scan of the dataset."""
+    tables, _ = fit_bucket_models(trigger_buckets(pressure_buckets(dataset, angle_unit)), BUCKET_SPECS, folds=k, fold=fold)
+    tables = {name: written(table) for name, table in tables.items()}
     parts = [
-        enrich(dataset.where(F.col(fold) == i), sides, bucket_priors(dataset.where(F.col(fold) != i), angle_unit), angle_unit)
+        enrich(dataset.where(F.col(fold) == i), sides, {n: t.where(F.col("held") == i).drop("held") for n, t in tables.items()}, angle_unit)
         for i in range(k)
     ]
     return reduce(DataFrame.unionByName, parts)
