@@ -1,4 +1,4 @@
-"""Queries that fit models or run a stream. Fits are iterative, so most have no SQL counterpart; tests cover them."""
+"""Queries that fit models or run a stream. The SQL of the linear models writes Newton's steps out, see ``newton_sql``."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline import config as C
+from touchline.catalog import newton_sql as NS
 from touchline.catalog import sql as S
-from touchline.catalog.common import context, located_shots, matches, register
+from touchline.catalog.common import TEST_TOLERANCE, context, located_shots, matches, register
+from touchline.catalog.metrics import _NLL, _auc_sql, _bin
 from touchline.functions.labels import pressure_state, score_state, simple_state, state_flags
 from touchline.operators import model as MD
 from touchline.operators import priors as R
@@ -37,35 +39,77 @@ def _dataset(spark, folder):
     return modelling_dataset(context(spark, folder), matches(spark, folder))
 
 
-@register("baseline_model")
+_GEOMETRY = S.LG + """,
+nr as materialized (select 0 as g, (shot_distance - avg(shot_distance) over ())/stddev_pop(shot_distance) over () as z1,
+  (shot_angle - avg(shot_angle) over ())/stddev_pop(shot_angle) over () as z2, is_goal::int as y from lg), """ + NS.geometry_fits()
+
+
+@register("baseline_model", S.query(_GEOMETRY, f"""
+select feature, coefficient, abs(coefficient) as abs_coefficient from (
+  select 'shot_distance' as feature, b1 as coefficient from m{NS.STEPS} union all select 'shot_angle', b2 from m{NS.STEPS}) q""", ["coefficient", "abs_coefficient"]))
 def baseline_model(spark, folder):
     model = MD.fit_baseline(located_shots(spark, folder))
     return model.coefficients(spark)
 
 
-@register("contextual_model")
+_NAMES, _, _ROWS = NS.training()
+_CONTEXTUAL = "recursive " + S.LG.strip() + _ROWS + ", " + NS.fits(len(_NAMES), 0.5)
+_MARGIN = " + ".join(["b[1]", *[f"b[{j + 1}]*x{j}" for j in range(1, len(_NAMES) + 1)]])
+
+
+@register("contextual_model", S.query(_CONTEXTUAL, f"""
+select feature, coefficient, abs(coefficient) as abs_coefficient from (
+  select unnest({_NAMES}) as feature, unnest(b[2:]) as coefficient from b{NS.STEPS}) q""", ["coefficient", "abs_coefficient"]))
 def contextual_model(spark, folder):
     return MD.fit_contextual(_training(spark, folder)).coefficients(spark)
 
 
-@register("contextual_scores")
+@register("contextual_scores", S.query(_CONTEXTUAL, f"""
+select shot_id, match_id, is_goal, round(1/(1 + exp(-({_MARGIN}))), 6) as cxg_prediction from nr cross join b{NS.STEPS}"""))
 def contextual_scores(spark, folder):
+    """Probabilities to six digits: the two solutions differ in the last bits."""
     rows = _training(spark, folder)
     model = MD.fit_contextual(rows)
-    return model.score(rows).select("shot_id", "match_id", "is_goal", "cxg_prediction")
+    return model.score(rows).select("shot_id", "match_id", "is_goal", F.round("cxg_prediction", 6).alias("cxg_prediction"))
+
 
+_GAP = """case when gap >= 0 and gap < 2 then '0-2s' when gap >= 2 and gap < 5 then '2-5s' when gap >= 5 and gap < 10 then '5-10s'
+  when gap >= 10 and gap < 30 then '10-30s' when gap >= 30 then '30s+' else 'Unknown' end"""
+_TRIGGER_ROWS = f"""select def_label || '|' || time_gap_bucket || '|' || possession_state as bucket, * from (
+  select def_label, {_GAP} as time_gap_bucket, case when possession_alignment then 'Same' else 'Different' end as possession_state, xg, goal::int as y
+  from cx where gap is not null) q"""
+_PIECE_COLUMNS = ["set_piece_category", "set_piece_phase", "score_state", "minute_bucket_label"]
+_PIECE_ROWS = f"select concat_ws('|', {', '.join(_PIECE_COLUMNS)}) as bucket, {', '.join(_PIECE_COLUMNS)}, xg, goal::int as y from cx"
 
-@register("bucket_model")
+
+@register("bucket_model", S.query(S.context(TEST_TOLERANCE) + ", " + NS.bucket_fits("t", _TRIGGER_ROWS), NS.bucket_rows("t", C.TRIGGER_BUCKET, 25), NS.BUCKET_DOUBLES))
 def bucket_model(spark, folder):
     rows = PL.trigger_buckets(_dataset(spark, folder))
     return MD.fit_bucket_model(rows, C.TRIGGER_BUCKET, required=["time_gap_seconds", "possession_match"])[0]
 
 
-@register("bucket_model_metrics")
+@register("bucket_model_metrics", S.query(S.context(TEST_TOLERANCE) + ", " + NS.bucket_fits("s", _PIECE_ROWS), """
+select count(*) as samples, avg(pow(p - y, 2)) as brier, avg(-(y*ln(p) + (1 - y)*ln(1 - p))) as log_loss, avg(y) as goal_rate, avg(p) as mean_prediction from s_scored""",
+    ["brier", "log_loss", "goal_rate", "mean_prediction"]))
 def bucket_model_metrics(spark, folder):
     return MD.fit_bucket_model(_dataset(spark, folder), C.SET_PIECE_BUCKET, min_shots=15)[1]
 
 
+@register("bucket_models", S.query(S.context(TEST_TOLERANCE) + ", " + NS.bucket_fits("s", _PIECE_ROWS) + ", " + NS.bucket_fits("t", _TRIGGER_ROWS), f"""
+select 'set_piece' as model, concat_ws('|', {', '.join(_PIECE_COLUMNS)}) as bucket, shots, goals, modeled_prob, bucket_logit, odds_multiplier from ({NS.bucket_rows("s", _PIECE_COLUMNS, 15)}) q
+union all
+select 'def_trigger', concat_ws('|', {', '.join(C.TRIGGER_BUCKET)}), shots, goals, modeled_prob, bucket_logit, odds_multiplier from ({NS.bucket_rows("t", C.TRIGGER_BUCKET, 25)}) q""",
+    ["modeled_prob", "bucket_logit", "odds_multiplier"]))
+def bucket_models(spark, folder):
+    """Two of the four bucket tables of one side-by-side fit."""
+    tables = PL.bucket_priors(_dataset(spark, folder))
+    parts = [
+        tables[s.name].select(F.lit(s.name).alias("model"), F.concat_ws("|", *s.columns).alias("bucket"), "shots", "goals", "modeled_prob", "bucket_logit", "odds_multiplier")
+        for s in PL.BUCKET_SPECS if s.name in ("set_piece", "def_trigger")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @register("neutral_scores")
 def neutral_scores(spark, folder):
     rows = _training(spark, folder)
@@ -81,19 +125,29 @@ def style_clusters(spark, folder):
     return rows.groupBy("style_cluster").agg(F.count(F.lit(1)).alias("match_sides"))
 
 
-@register("cross_validation")
+_FOLDS = S.LG + ", " + NS.balanced_folds()
+_OUT_OF_FOLD = f""",
+lf as materialized (select lg.*, fold from lg join folds using (match_id)), held as (select unnest(range(5)) as g),
+st as materialized (select g, avg(shot_distance) as m1, stddev_pop(shot_distance) as s1, avg(shot_angle) as m2, stddev_pop(shot_angle) as s2
+  from lf join held on fold <> g group by g),
+nr as materialized (select g, (shot_distance - m1)/s1 as z1, (shot_angle - m2)/s2 as z2, is_goal::int as y from lf join st on fold <> g), {NS.geometry_fits()},
+x as materialized (
+  select fold, is_goal, round(1/(1 + exp(-(b0 + b1*(shot_distance - m1)/s1 + b2*(shot_angle - m2)/s2))), 9) as p from lf join st on fold = g join m{NS.STEPS} using (g)),
+a as ({_auc_sql('x', 'p', 'fold')}),
+c as (select fold, sum(abs(pos - sp)) as gap from (select fold, {_bin('p')} as bin, sum(is_goal::int) as pos, sum(p) as sp from x group by 1, 2) q group by 1)"""
+
+
+@register("cross_validation", S.query(_FOLDS + _OUT_OF_FOLD, f"""
+select fold, count(*) as "count", avg(pow(p - is_goal::int, 2)) as brier, avg({_NLL}) as log_loss, any_value(auc) as auc, any_value(gap)/count(*) as ece
+from x join a using (fold) join c using (fold) group by 1""", ["brier", "log_loss", "auc", "ece"], ["fold"]))
 def cross_validation(spark, folder):
+    """Predictions are compared to nine digits, so that scores equal but for their last bits tie."""
     rows = MD.assign_folds(located_shots(spark, folder), "match_id", 5, method="balanced")
-    return MD.fold_metrics(MD.cross_validate(rows, MD.fit_baseline, 5))
+    scored = MD.cross_validate(rows, MD.fit_baseline, 5)
+    return MD.fold_metrics(scored.withColumn("prediction", F.round("prediction", 9)))
 
 
-@register("fold_balance", S.query("recursive " + S.L.strip(), """
-, q as (select row_number() over (order by count(*) desc, match_id) as i, count(*) as n from l group by match_id),
-g as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as loads
-  union all
-  select q.i, [case when j = list_position(loads, list_min(loads)) then loads[j] + q.n else loads[j] end for j in range(1, 6)]
-  from g join q on q.i = g.i + 1)
-select row_number() over (order by n desc) as place, n as rows from (select unnest(loads) as n from g order by i desc limit 5) z"""))
+@register("fold_balance", S.query(_FOLDS, "select row_number() over (order by count(*) desc) as place, count(*) as rows from l join folds using (match_id) group by fold"))
 def fold_balance(spark, folder):
     """Fold sizes of the greedy rule, largest first."""
     rows = MD.assign_folds(located_shots(spark, folder).select("shot_id", "match_id"), "match_id", 5, method="balanced")
