@@ -26,6 +26,7 @@ from touchline.plans.staging import written
 
 MAX_STEPS = 40
 SMALL_STEP = 1e-7
+MOST_SCALARS = 60
 
 
 @dataclass
@@ -260,6 +261,66 @@ def _unpacked(sums: np.ndarray, weight: float, size: int) -> np.ndarray:
     return out
 
 
+class _ScalarSums:
+    """Sums over a small basis, a column each: all of it is generated code."""
+
+    def __init__(self, flat: DataFrame, names: list[str]) -> None:
+        self.rows, self._names = flat, names
+        self._products = [p for i, n in enumerate(names) for p in ((n,), *[(names[j], n) for j in range(i + 1)])]
+
+    def margin(self, raw: list[float]) -> Column:
+        # the coefficients stand in an array, so that every step has the same code
+        terms = F.zip_with(F.array(*[F.col(n) for n in self._names]), F.array(*[F.lit(v) for v in raw[1:]]), lambda x, v: x * v)
+        return F.aggregate(terms, F.element_at(F.array(F.lit(raw[0])), 1), lambda s, t: s + t)
+
+    def first(self, weight: Column, name: str) -> list[Column]:
+        return [F.sum(weight * F.col(n)).alias(f"{name}_{j}") for j, n in enumerate(self._names)]
+
+    def second(self, weight: Column, name: str) -> list[Column]:
+        out = []
+        for j, factors in enumerate(self._products):
+            value = weight
+            for f in factors:
+                value = value * F.col(f)
+            out.append(F.sum(value).alias(f"{name}_{j}"))
+        return out
+
+    def read_first(self, row, name: str) -> np.ndarray:
+        return np.array([row[f"{name}_{j}"] for j in range(len(self._names))])
+
+    def read_second(self, row, name: str) -> np.ndarray:
+        return np.array([row[f"{name}_{j}"] for j in range(len(self._products))])
+
+
+class _VectorSums:
+    """Sums over a wide basis: one vector sum for each model and step, over products that all models share and that keep zeros out."""
+
+    def __init__(self, flat: DataFrame, names: list[str]) -> None:
+        vectors = VectorAssembler(inputCols=names, outputCol="__x").transform(flat)
+        self.rows, self._names = PolynomialExpansion(degree=2, inputCol="__x", outputCol="__xx").transform(vectors), names
+
+    def margin(self, raw: list[float]) -> Column:
+        out = F.lit(raw[0])
+        for n, v in zip(self._names, raw[1:], strict=True):
+            out = out + F.col(n) * v if v else out
+        return out
+
+    @staticmethod
+    def _sum(column: str, weight: Column, name: str) -> list[Column]:
+        return [Summarizer.metrics("sum").summary(F.col(column), weight)["sum"].alias(name)]
+
+    def first(self, weight: Column, name: str) -> list[Column]:
+        return self._sum("__x", weight, name)
+
+    def second(self, weight: Column, name: str) -> list[Column]:
+        return self._sum("__xx", weight, name)
+
+    def read_first(self, row, name: str) -> np.ndarray:
+        return row[name].toArray()
+
+    read_second = read_first
+
+
 def fit_models(df: DataFrame, specs: Sequence[ModelSpec], target: str = "is_goal") -> list[FittedModel]:
     """Fit all ``specs`` on ``df``; rows without a target are left out."""
     rows = _stage(df, specs, target)
@@ -267,40 +328,31 @@ def fit_models(df: DataFrame, specs: Sequence[ModelSpec], target: str = "is_goal
     size = len(basis.columns)
     names = [f"__r{j}" for j in range(size)]
     flat = rows.select("__y", *[F.col(f"__in_{k}") for k in range(len(specs))], *[c.alias(n) for c, n in zip(basis.columns, names, strict=True)])
-    vectors = VectorAssembler(inputCols=names, outputCol="__x").transform(flat)
-    vectors = PolynomialExpansion(degree=2, inputCol="__x", outputCol="__xx").transform(vectors)
-
-    def sums(column: str, weight: Column) -> Column:
-        return Summarizer.metrics("sum").summary(F.col(column), weight)["sum"]
-
+    summed = _ScalarSums(flat, names) if len(problems) * (size + 1) * (size + 2) // 2 <= MOST_SCALARS else _VectorSums(flat, names)
     # the sums of y x; a summary needs some weight, so one more is given to each row and taken off again
     aggs = []
     for k, p in enumerate(problems):
         one = F.when(p.member, 1.0).otherwise(0.0)
-        aggs += [F.sum(one * F.col("__y")).alias(f"y{k}"), sums("__x", one).alias(f"o{k}"), sums("__x", one * (1 + F.col("__y"))).alias(f"t{k}")]
-    hits = vectors.agg(*aggs).first()
-    goals = [np.concatenate(([hits[f"y{k}"]], hits[f"t{k}"].toArray() - hits[f"o{k}"].toArray())) for k in range(len(problems))]
+        aggs += [F.sum(one).alias(f"n{k}"), F.sum(one * F.col("__y")).alias(f"y{k}"), *summed.first(one, f"o{k}"), *summed.first(one * (1 + F.col("__y")), f"t{k}")]
+    hits = summed.rows.agg(*aggs).first()
+    goals = [np.concatenate(([hits[f"y{k}"]], summed.read_first(hits, f"t{k}") - summed.read_first(hits, f"o{k}"))) for k in range(len(problems))]
+    for k, p in enumerate(problems):
+        # begin at the share of goals, which is where most of the first steps go
+        share = min(max(hits[f"y{k}"] / hits[f"n{k}"], 1e-6), 1 - 1e-6)
+        p.at[0] = np.log(share / (1 - share))
     for _ in range(MAX_STEPS):
         open_ = [(k, p) for k, p in enumerate(problems) if not p.done]
         if not open_:
             break
-        margins, aggs = {}, []
-        for k, p in open_:
-            raw = p.design @ p.at
-            margin = F.lit(float(raw[0]))
-            for name, value in zip(names, raw[1:], strict=True):
-                if value:
-                    margin = margin + F.col(name) * float(value)
-            margins[f"__m{k}"] = margin
-        step = vectors.withColumns(margins)
+        margins = {f"__m{k}": summed.margin((p.design @ p.at).tolist()) for k, p in open_}
+        step = summed.rows.withColumns(margins)
         step = step.withColumns({f"__p{k}": F.when(p.member, probability(F.col(f"__m{k}"))).otherwise(0.0) for k, p in open_})
+        step = step.withColumns({f"__w{k}": F.col(f"__p{k}") * (1 - F.col(f"__p{k}")) for k, p in open_})
+        aggs = []
         for k, p in open_:
-            m, chance = F.col(f"__m{k}"), F.col(f"__p{k}")
+            m, chance, weight = F.col(f"__m{k}"), F.col(f"__p{k}"), F.col(f"__w{k}")
             loss = F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - F.col("__y") * m
-            aggs += [
-                F.sum(F.when(p.member, loss)).alias(f"l{k}"), F.sum(chance).alias(f"p{k}"), sums("__x", chance).alias(f"g{k}"),
-                F.sum(chance * (1 - chance)).alias(f"q{k}"), sums("__xx", chance * (1 - chance)).alias(f"w{k}"),
-            ]
+            aggs += [F.sum(F.when(p.member, loss)).alias(f"l{k}"), F.sum(chance).alias(f"p{k}"), F.sum(weight).alias(f"q{k}"), *summed.first(chance, f"g{k}"), *summed.second(weight, f"w{k}")]
         found = step.agg(*aggs).first()
         for k, p in open_:
             loss = found[f"l{k}"] + 0.5 * float(p.penalty @ p.at**2)
@@ -309,9 +361,9 @@ def fit_models(df: DataFrame, specs: Sequence[ModelSpec], target: str = "is_goal
                 p.step = p.step / 2
                 p.at = p.before + p.step
                 continue
-            expected = np.concatenate(([found[f"p{k}"]], found[f"g{k}"].toArray()))
+            expected = np.concatenate(([found[f"p{k}"]], summed.read_first(found, f"g{k}")))
             gradient = p.design.T @ (expected - goals[k]) + p.penalty * p.at
-            curve = p.design.T @ _unpacked(found[f"w{k}"].toArray(), found[f"q{k}"], size) @ p.design + np.diag(p.penalty)
+            curve = p.design.T @ _unpacked(summed.read_second(found, f"w{k}"), found[f"q{k}"], size) @ p.design + np.diag(p.penalty)
             move = -np.linalg.lstsq(curve, gradient, rcond=None)[0]
             p.before, p.step, p.loss = p.at, move, loss
             p.at = p.at + move
