@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from touchline import config as C
 from touchline.catalog import newton_sql as NS
+from touchline.catalog import priors as CP
 from touchline.catalog import sql as S
 from touchline.catalog.common import TEST_TOLERANCE, context, located_shots, matches, register
 from touchline.catalog.metrics import _NLL, _auc_sql, _bin
 from touchline.functions.labels import pressure_state, score_state, simple_state, state_flags
+from touchline.operators import clusters as CL
 from touchline.operators import model as MD
 from touchline.operators import priors as R
+from touchline.operators.clusters import fit_clusters
 from touchline.plans import pipeline as PL
 from touchline.plans.context import modelling_dataset
 from touchline.plans.staging import shared_folder
@@ -117,12 +120,44 @@ def neutral_scores(spark, folder):
     return MD.neutral_scores(model, rows).select("shot_id", "cxg_prediction", "neutral_cxg", "opponent_adjusted_diff", "opponent_adjusted_ratio")
 
 
-@register("style_clusters")
+@register("style_clusters", S.query(CP._STYLE + ", " + NS.clusters("select *, true as train from st", R.STYLE_FEATURES, ["match_id", "team_id"]), """
+select j as style_cluster, count(*) as match_sides, sum(d) as inertia, (select count(*) from ctr40) as cluster_count from lloyd group by j""",
+    ["inertia"], ["style_cluster", "cluster_count"]))
 def style_clusters(spark, folder):
-    from touchline.catalog.priors import _style
-
-    rows = MD.cluster_styles(_style(spark, folder), R.STYLE_FEATURES, F.lit(True))
-    return rows.groupBy("style_cluster").agg(F.count(F.lit(1)).alias("match_sides"))
+    """Match sides and squared distances of each style cluster."""
+    rows = CP._style(spark, folder)
+    found = fit_clusters(rows, R.STYLE_FEATURES, F.lit(True), C.STYLE_CLUSTERS)
+    distance = CL._nearest(found.scaled(), found.centres)
+    table = rows.select(distance.alias("near")).groupBy(F.col("near.j").alias("style_cluster")).agg(F.count(F.lit(1)).alias("match_sides"), F.sum("near.d").alias("inertia"))
+    return table.withColumn("cluster_count", F.lit(found.count))
+
+
+_HELD = CP._FORM + ", " + NS.clusters("select *, season <> 1999 as train from form", CP.FORM_FEATURES, ["match_id", "team_id"]) + f""",
+cl as (select form.*, j, train from form join lloyd using (match_id, team_id)),
+cs as (select j, {CP._log('sum(goals_for)', 'sum(shots_for)')} - {CP._log('sum(xg_for)', 'sum(shots_for)')} as a,
+    {CP._log('sum(goals_against)', 'sum(shots_against)')} - {CP._log('sum(xg_against)', 'sum(shots_against)')} as b from cl where train group by 1)"""
+
+
+@register("holdout_style_bias", S.query(_HELD, """
+select match_id, team_id, j as style_cluster, not train as is_holdout, a as style_att_bias, b as style_def_bias from cl join cs using (j)""",
+    ["style_att_bias", "style_def_bias"], ["style_cluster"]))
+def holdout_style_bias(spark, folder):
+    """Style clusters and their bias from all seasons but one; the holdout's sides get the clusters of the others."""
+    form, train = CP._holdout_form(spark, folder)
+    clustered = fit_clusters(form, CP.FORM_FEATURES, train, C.STYLE_CLUSTERS).assign(form)
+    return R.style_bias(clustered, train).select("match_id", "team_id", "style_cluster", "is_holdout", "style_att_bias", "style_def_bias")
+
+
+@register("holdout_prior_summary", S.query(_HELD, """
+select count(*) as total_rows, count(*) filter (not train) as excluded_rows, (select count(*) from ctr40) as cluster_count,
+  sum(d) filter (train) as inertia from lloyd""", ["inertia"]))
+def holdout_prior_summary(spark, folder):
+    """How many sides the fit left out, and its clusters."""
+    form, train = CP._holdout_form(spark, folder)
+    clusters = fit_clusters(form, CP.FORM_FEATURES, train, C.STYLE_CLUSTERS)
+    style = R.style_bias(clusters.assign(form), train)
+    priors = R.combine_priors(R.rolling_bias(form), style, R.player_sides(CP._player_form(spark, folder)))
+    return R.prior_summary(priors, clusters).select("total_rows", "excluded_rows", "cluster_count", "inertia")
 
 
 _FOLDS = S.LG + ", " + NS.balanced_folds()

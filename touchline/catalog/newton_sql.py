@@ -125,3 +125,31 @@ def training() -> tuple[list[str], list[str], str]:
 filled as materialized (select *, {filled} from lg cross join (select median(case when second%7 <> 0 then second end) as mid from lg) q),
 nr as materialized (select shot_id, match_id, is_goal, is_goal::int as y, {columns} from filled)"""
     return names, [*scaled, *flags], tables
+
+
+def clusters(rows: str, features: Sequence[str], key: Sequence[str], k: int = 6, steps: int = 40) -> str:
+    """k-means of the ``train`` rows of ``rows``: the farthest row after another, then Lloyd steps. Ends in ``lloyd(key, j, d, train)``, the nearest
+    centre of each row."""
+    n = len(features)
+    zs = [f"z{i}" for i in range(n)]
+    z, keys = ", ".join(zs), ", ".join(key)
+    scaled = ", ".join(f"coalesce(({f} - avg({f}) over ())/coalesce(nullif(stddev_pop({f}) over (), 0), 1), 0) as {name}" for f, name in zip(features, zs, strict=True))
+    far = ", ".join(f"{x} desc" for x in zs)
+    gap = " + ".join(f"(r.{x} - c.{x})*(r.{x} - c.{x})" for x in zs)
+    out = [f"kz as materialized (select {keys}, train, {scaled} from ({rows}) q)", "kt as materialized (select * from kz where train)",
+           f"far1 as materialized (select 0 as j, {z} from kt order by {' + '.join(f'{x}*{x}' for x in zs)} desc, {far} limit 1)"]
+    for i in range(1, k):
+        out.append(f"""far{i + 1} as materialized (select * from far{i} union all select * from (
+  select {i} as j, {z} from (select {', '.join('r.' + x for x in zs)}, min({gap}) as d from kt r cross join far{i} c group by all) q where d > 0 order by d desc, {far} limit 1) q)""")
+    out.append(f"ctr0 as materialized (select *, false as still from far{k})")
+    shift = " + ".join(f"({x} - o{i})*({x} - o{i})" for i, x in enumerate(zs))
+    for i in range(steps):
+        out.append(f"""ctr{i + 1} as materialized (select j, {z}, was or sum({shift}) over () <= 1e-4 as still from (
+  select c.j, c.still as was, {', '.join(f'case when c.still then c.{x} else coalesce(m.{x}, c.{x}) end as {x}, c.{x} as o{y}' for y, x in enumerate(zs))}
+  from ctr{i} c left join (
+    select near.j as j, {', '.join(f'avg({x}) as {x}' for x in zs)} from (
+      select {keys}, {', '.join(f'any_value(r.{x}) as {x}' for x in zs)}, min(struct_pack(d := {gap}, j := c.j)) as near from kt r cross join ctr{i} c group by {keys}) q
+    group by near.j) m using (j)) q)""")
+    out.append(f"""lloyd as materialized (select {keys}, near.j as j, near.d as d, train from (
+  select {keys}, any_value(train) as train, min(struct_pack(d := {gap}, j := c.j)) as near from kz r cross join ctr{steps} c group by {keys}) q)""")
+    return ", ".join(out)

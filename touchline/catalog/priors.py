@@ -103,6 +103,15 @@ def _form(spark, folder):
     return R.rolling_form(R.match_sides(_side_shots(spark, folder)))
 
 
+FORM_FEATURES = ["shots_for", "xg_for", "shots_against", "xg_against"]
+
+
+def _holdout_form(spark, folder):
+    """Form of all sides, of which one season is the holdout, and the condition that leaves it out."""
+    form = _form(spark, folder).withColumn("is_holdout", F.year("match_date") == 1999)
+    return form, ~F.col("is_holdout")
+
+
 @register("rolling_form", S.query(_FORM, f"select match_id, team_id, match_number, {', '.join(_FORM_COLUMNS)} from form",
                                   [c for c in _FORM_COLUMNS if "xg" in c], [c for c in _FORM_COLUMNS if "xg" not in c]))
 def rolling_form(spark, folder):

@@ -12,7 +12,6 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from touchline import config as C
 from touchline.functions.labels import bucket_key
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy
+from touchline.operators.clusters import fit_clusters
 from touchline.operators.metrics import brier_term, full_metrics, log_loss_term
 from touchline.operators.newton import MAX_STEPS, SMALL_STEP, FeatureContract, FittedModel, ModelSpec, fit_models, probability
 from touchline.plans.staging import written
@@ -277,22 +277,9 @@ def bucket_table(scored: DataFrame, bucket_columns: Sequence[str], effects: Data
 # ---- clusters, calibration, neutral scores ----------------------------------------------------------------------
 
 
-def cluster_styles(df: DataFrame, features: Sequence[str], train: Column, k: int = C.STYLE_CLUSTERS, seed: int = 42,
-                   output: str = "style_cluster") -> DataFrame:
+def cluster_styles(df: DataFrame, features: Sequence[str], train: Column, k: int = C.STYLE_CLUSTERS, output: str = "style_cluster") -> DataFrame:
     """k-means on scaled features: fitted on the training rows, assigned to all. Too few rows give one cluster."""
-    n = df.where(train).limit(k).count()
-    if n < 2:
-        return df.withColumn(output, F.lit(0))
-    stats = df.agg(
-        *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]
-    ).first()
-    scaled = df.withColumns(
-        {f"__z_{f}": (F.col(f) - F.lit(stats[f"m_{f}"])) / F.lit(stats[f"s_{f}"] or 1.0) for f in features}
-    )
-    assembled = VectorAssembler(inputCols=[f"__z_{f}" for f in features], outputCol="__features").transform(scaled)
-    means = KMeans(featuresCol="__features", predictionCol=output, k=min(k, n), seed=seed)
-    model = means.fit(assembled.where(train))
-    return model.transform(assembled).drop("__features", *[f"__z_{f}" for f in features])
+    return fit_clusters(df, features, train, k).assign(df, output)
 
 
 def _rounded(score: str, decimals: int | None):

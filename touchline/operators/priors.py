@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline import config as C
 from touchline.functions.labels import is_holdout
 from touchline.functions.numeric import clip, logit, safe_ratio
+from touchline.operators.clusters import Clusters
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy, decide
 from touchline.operators.joins import require_columns
 from touchline.operators.quantiles import medians
@@ -275,7 +276,15 @@ def concession_prior_table(context: DataFrame) -> DataFrame:
     ).withColumn("match_date", F.date_format("match_date", "yyyy-MM-dd"))
 
 
-def prior_summary(context: DataFrame) -> DataFrame:
+def prior_summary(context: DataFrame, clusters: Clusters | None = None) -> DataFrame:
+    """One row about the priors of all sides; with ``clusters`` also how many there are and their inertia."""
+    summary = _prior_summary(context)
+    if clusters is None:
+        return summary
+    return summary.withColumns({"cluster_count": F.lit(clusters.count).cast("long"), "inertia": F.lit(clusters.inertia)})
+
+
+def _prior_summary(context: DataFrame) -> DataFrame:
     return context.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.avg("finishing_bias_logit").alias("finishing_bias_logit_mean"),
