@@ -42,6 +42,8 @@ PIECE_BYTES = 1_000_000
 BUCKET_PHRASES = 3_000_000
 MOST_BITS = 28
 TOP_BUCKET = 50_000
+LEAST_BUCKETS = 16
+ROWS_SENT = 50_000
 UNKNOWN = "und"
 
 _WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
@@ -230,24 +232,25 @@ def _mine(lowered: dict[int, int], support: int, width: int):
 
 
 def _count(candidates, bits: int, longest: int):
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+
+    def phrase_rows(part: Part, langs: list[str], n: int, first: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        words = [[part.text[a:b] for a, b in zip(part.starts[first + k].tolist(), part.ends[first + k].tolist(), strict=True)] for k in range(n)]
+        phrases = [b" ".join(phrase).decode("utf-8", "surrogatepass") for phrase in zip(*words, strict=True)]
+        columns = ([langs[r] for r in part.row[first].tolist()], [n] * len(first), phrases, counts)
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["lang", "n", "phrase", "f"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(candidates.value, np.uint8)
         for part, langs, _ in _parts(batches, longest):
-            out: tuple[list, list, list, list] = ([], [], [], [])
             for n in range(1, longest + 1):
                 value, at = part.phrases(n)
                 place = value >> np.uint64(64 - bits)
                 marked = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                _, first, counts = np.unique(value[marked], return_index=True, return_counts=True)
-                first = at[marked][first]
-                starts, ends = ([x[first + k].tolist() for k in range(n)] for x in (part.starts, part.ends))
-                words = [[part.text[a:b] for a, b in zip(a, b, strict=True)] for a, b in zip(starts, ends, strict=True)]
-                out[0].extend(langs[r] for r in part.row[first].tolist())
-                out[1].extend([n] * len(first))
-                out[2].extend(b" ".join(phrase).decode("utf-8", "surrogatepass") for phrase in zip(*words, strict=True))
-                out[3].extend(counts.tolist())
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["lang", "n", "phrase", "f"])
+                value, at = value[marked], at[marked]
+                _, first, counts = np.unique(value, return_index=True, return_counts=True)
+                for some in range(0, len(first), ROWS_SENT):
+                    yield phrase_rows(part, langs, n, at[first[some : some + ROWS_SENT]], counts[some : some + ROWS_SENT])
 
     return work
 
@@ -309,7 +312,7 @@ def collocations(
     # a language is ranked in two steps, so that no task sorts more than a bucket or the firsts of all buckets
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     kept = written(kept)
-    buckets = max(1, kept.count() // TOP_BUCKET)
+    buckets = max(LEAST_BUCKETS, kept.count() // TOP_BUCKET)
     kept = kept.withColumn("_bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
     kept = kept.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_bucket").orderBy(*order))).where(F.col("_place") <= top)
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
