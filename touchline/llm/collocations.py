@@ -315,5 +315,7 @@ def collocations(
     buckets = max(LEAST_BUCKETS, kept.count() // TOP_BUCKET)
     kept = kept.withColumn("_bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
     kept = kept.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_bucket").orderBy(*order))).where(F.col("_place") <= top)
+    # written, so that the buckets are not dealt by language alone
+    kept = written(kept)
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return kept.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
