@@ -190,7 +190,14 @@ def fold_balance(spark, folder):
     return sizes.select(F.row_number().over(Window.orderBy(F.desc("rows"))).alias("place"), "rows")
 
 
-@register("isotonic_calibration")
+# the max-min formula: the highest over starts at or below a score of the lowest mean up to an end at or above it
+@register("isotonic_calibration", S.query(S.L, """
+, c as materialized (select xg as x, count(*) as n, sum(is_goal::int) as y from l group by 1),
+r as materialized (select x, sum(n) over w as n, sum(y) over w as y, n as own, y as own_y from c window w as (order by x)),
+m as materialized (select a.x as a, b.x as b, (b.y - a.y + a.own_y)/(b.n - a.n + a.own) as mean from r a join r b on b.x >= a.x),
+low as materialized (select m.a, c.x, min(m.mean) as v from m join c on m.a <= c.x and m.b >= c.x group by 1, 2),
+fit as (select x, max(v) as calibrated from low group by 1)
+select shot_id, xg, calibrated from l join fit on fit.x = l.xg""", ["xg", "calibrated"]))
 def isotonic_calibration(spark, folder):
     rows = located_shots(spark, folder)
     model = MD.fit_isotonic(rows, "xg")

@@ -14,7 +14,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ from touchline import config as C
 from touchline.functions.labels import bucket_key
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy
 from touchline.operators.clusters import fit_clusters
+from touchline.operators.isotonic import Isotonic
+from touchline.operators.isotonic import fit_isotonic as isotonic_steps
 from touchline.operators.metrics import brier_term, full_metrics, log_loss_term
 from touchline.operators.newton import MAX_STEPS, SMALL_STEP, FeatureContract, FittedModel, ModelSpec, fit_models, probability
 from touchline.plans.staging import written
@@ -286,18 +287,14 @@ def _rounded(score: str, decimals: int | None):
     return F.col(score) if decimals is None else F.round(score, decimals)
 
 
-def fit_isotonic(df: DataFrame, prediction: str, target: str = "is_goal", decimals: int | None = None):
+def fit_isotonic(df: DataFrame, prediction: str, target: str = "is_goal", decimals: int | None = None) -> Isotonic:
     """Isotonic calibration fitted on distinct scores: rows of one score are summed first. ``decimals`` rounds scores, at the fit and
-    where it is applied, which bounds the points of the fit at the price of a coarser curve."""
-    cells = df.groupBy(_rounded(prediction, decimals).alias("__p")).agg(
-        F.avg(F.col(target).cast("double")).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w")
-    )
-    return IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w", predictionCol="__iso").fit(cells)
+    where it is applied."""
+    return isotonic_steps(df.select(_rounded(prediction, decimals).alias("__p"), F.col(target).cast("double").alias("__y")), "__p", F.col("__y"))
 
 
-def apply_isotonic(model, df: DataFrame, prediction: str, output: str = "calibrated", decimals: int | None = None) -> DataFrame:
-    scored = model.transform(df.withColumn("__p", _rounded(prediction, decimals)))
-    return scored.withColumnRenamed("__iso", output).drop("__p")
+def apply_isotonic(model: Isotonic, df: DataFrame, prediction: str, output: str = "calibrated", decimals: int | None = None) -> DataFrame:
+    return model.transform(df.withColumn("__p", _rounded(prediction, decimals)), "__p", output).drop("__p")
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], target: str = "is_goal", rounds: int = 20, depth: int = 5,
