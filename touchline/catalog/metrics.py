@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from touchline.catalog import sql as S
@@ -245,13 +247,43 @@ def quality_label_metrics(spark, folder):
     return M.probability_metrics(rows, target="quality").select("brier", "count")
 
 
-@register("bootstrap_ci")
+def _poisson(group: str, *parts: str) -> tuple[str, str]:
+    """The draw of ``poisson_weight``: its number ``h``, and the weight of ``u``, which is that number over the prime."""
+    h = group
+    for k, part in enumerate([*parts, "97", "1009"]):
+        v = f"v{k}"
+        h = f"[(({v}%{M.DRAW_PRIME})*({v}%{M.DRAW_PRIME}) + {group})%{M.DRAW_PRIME} for {v} in [({h})*{[48271, 69621, 40692][k % 3]} + {part}]][1]"
+    steps, cumulative = "", 0.0
+    for k in range(16):
+        cumulative += math.exp(-1.0) / math.factorial(k)
+        steps += f" when u < {cumulative!r}::double then {k}"
+    return h, f"case{steps} else 16 end"
+
+
+_H, _W = _poisson("match_id::bigint", "r", "42")
+_REPLICATES = "(select unnest(range(1, 1001)) as r) reps"
+
+
+@register("bootstrap_ci", S.query(S.L, f"""
+, g as materialized (select match_id, count(*) as n, sum(pow(xg - is_goal::int, 2) - pow(xg*0.5 + 0.05 - is_goal::int, 2)) as d from l group by 1),
+st as (select r, sum(w*d)/sum(w*n) as x from (select r, n, d, {_W} as w from (select r, n, d, ({_H})/{M.DRAW_PRIME}::double as u from g cross join {_REPLICATES}) q) q group by r)
+select (select sum(d)/sum(n) from g) as estimate, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.975) as high from st""", ["estimate", "low", "high"]))
 def bootstrap_ci(spark, folder):
     rows = shots(spark, folder).withColumns({"first": F.col("xg"), "second": F.col("xg") * 0.5 + 0.05})
     return M.bootstrap_difference(rows, "match_id", "first", "second")
 
 
-@register("bootstrap_auc_ci")
+def _replicate_auc(name: str, score: str) -> str:
+    return f"""{name}_c as materialized (select match_id, {score} as s, is_goal, count(*) as n from e where type = 'Shot' group by all),
+{name}_w as (select r, s, sum(case when is_goal then w*n else 0 end) as pos, sum(case when is_goal then 0 else w*n end) as neg from (
+  select *, {_W} as w from (select *, ({_H})/{M.DRAW_PRIME}::double as u from {name}_c cross join {_REPLICATES}) q) q group by r, s),
+{name} as (select r, sum(pos*(below + neg/2))/nullif(sum(pos)*sum(neg), 0)::double as auc from (
+  select *, coalesce(sum(neg) over (partition by r order by s rows between unbounded preceding and 1 preceding), 0) as below from {name}_w) q group by r)"""
+
+
+@register("bootstrap_auc_ci", S.query(S.E + ", " + _replicate_auc("fa", "xg") + ", " + _replicate_auc("fb", "x"), """
+select quantile_cont(d, 0.025) as low, quantile_cont(d, 0.5) as median, quantile_cont(d, 0.975) as high
+from (select fa.auc - fb.auc as d from fa join fb using (r)) q where d is not null""", ["low", "median", "high"]))
 def bootstrap_auc_ci(spark, folder):
     rows = event_shots(spark, folder).withColumns({"first": F.col("xg"), "second": F.col("x")})
     return M.bootstrap_auc_difference(rows, "match_id", "first", "second")

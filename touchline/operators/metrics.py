@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline import config as C
 from touchline.functions.numeric import clip, edge_bin, linspace
@@ -321,11 +322,26 @@ def ks_distance(df: DataFrame, value: str, group: str, first: object, second: ob
     return out if by else out.drop(_ALL)
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """Deterministic Poisson(1) draw from a hash, by inverting the distribution function."""
+DRAW_PRIME = 2_147_483_647
+
+
+def draw_seed(group: Column, kind: T.DataType) -> Column:
+    """An integer that stands for a group in its draws: itself, or a checksum of what is not an integer."""
+    value = group if isinstance(kind, T.IntegralType) else F.crc32(group.cast("string"))
+    return F.coalesce(F.pmod(value.cast("long"), F.lit(DRAW_PRIME)), F.lit(0).cast("long"))
+
+
+def poisson_weight(group: Column, *parts: Column) -> Column:
+    """Deterministic Poisson(1) draw for integers, by inverting the distribution function. The uniform number comes from three rounds of a
+    linear and a quadratic map over a prime, plain arithmetic that any engine repeats."""
     import math
 
-    uniform = F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    group = F.pmod(group.cast("long"), F.lit(DRAW_PRIME))
+    h = group
+    for k, part in enumerate([*parts, F.lit(97), F.lit(1009)]):
+        h = (h * F.lit([48271, 69621, 40692][k % 3]) + part.cast("long")) % F.lit(DRAW_PRIME)
+        h = (h * h + group) % F.lit(DRAW_PRIME)
+    uniform = h / F.lit(float(DRAW_PRIME))
     chain, cumulative = None, 0.0
     for k in range(16):
         cumulative += math.exp(-1.0) / math.factorial(k)
@@ -347,8 +363,8 @@ def bootstrap_difference(df: DataFrame, group: str, first: str, second: str, tar
         F.sum(brier_term(y, F.col(first)) - brier_term(y, F.col(second))).alias("d"),
     )
     draws = per_group.select(
-        group, "n", "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    ).withColumn("w", poisson_weight(F.col(group), F.col("replicate"), F.lit(seed)))
+        draw_seed(F.col(group), df.schema[group].dataType).alias("__g"), "n", "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    ).withColumn("w", poisson_weight(F.col("__g"), F.col("replicate"), F.lit(seed)))
     stats = draws.groupBy("replicate").agg(
         F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("difference")
     )
@@ -364,7 +380,8 @@ def bootstrap_auc_difference(df: DataFrame, group: str, first: str, second: str,
     def per_replicate(score: str, name: str) -> DataFrame:
         counts = df.groupBy(group, F.col(score).alias("score"), _target(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
         drawn = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        weighted = drawn.withColumn("w", poisson_weight(F.col(group), F.col("replicate"), F.lit(seed)) * F.col("n"))
+        drawn = drawn.withColumn("__g", draw_seed(F.col(group), df.schema[group].dataType))
+        weighted = drawn.withColumn("w", poisson_weight(F.col("__g"), F.col("replicate"), F.lit(seed)) * F.col("n"))
         return auc(weighted, ["replicate"], "y", "score", weight=F.col("w")).withColumnRenamed("auc", name)
 
     both = per_replicate(first, "a").join(per_replicate(second, "b"), "replicate")
