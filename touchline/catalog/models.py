@@ -113,11 +113,26 @@ def bucket_models(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
-@register("neutral_scores")
+# inputs of the reference context, by their place among the contextual model's inputs
+_NEUTRAL = {"score_diff_at_shot": C.NEUTRAL.score_diff_at_shot, "minute": C.NEUTRAL.minute, "is_leading": 0, "is_trailing": 0, "is_drawing": 1}
+_NEUTRAL |= {n: int(n in ("score_state_Level", "simple_state_Drawing", f"pressure_state_{C.NOT_UNDER_PRESSURE}")) for n in _NAMES if n.startswith(("score_state_", "simple_state_", "pressure_state_"))}
+_NEUTRAL_MARGIN = " + ".join(["b[1]", *[
+    f"b[{j + 2}]*" + (f"(({_NEUTRAL[n]} - {n}_mean)/{n}_spread)" if n in ("score_diff_at_shot", "minute") else str(_NEUTRAL[n]) if n in _NEUTRAL else f"x{j + 1}")
+    for j, n in enumerate(_NAMES)
+]])
+
+
+@register("neutral_scores", S.query(_CONTEXTUAL, f"""
+select shot_id, round(p, 6) as cxg_prediction, round(q, 6) as neutral_cxg, round(p - q, 6) as opponent_adjusted_diff, round(p/q, 6) as opponent_adjusted_ratio from (
+  select shot_id, 1/(1 + exp(-({_MARGIN}))) as p, 1/(1 + exp(-({_NEUTRAL_MARGIN}))) as q from nr cross join b{NS.STEPS} cross join (
+    select avg(n_score_diff_at_shot) as score_diff_at_shot_mean, stddev_pop(n_score_diff_at_shot) as score_diff_at_shot_spread,
+      avg(n_minute) as minute_mean, stddev_pop(n_minute) as minute_spread from filled) m) z"""))
 def neutral_scores(spark, folder):
+    """To six digits, as the scores above."""
     rows = _training(spark, folder)
     model = MD.fit_contextual(rows)
-    return MD.neutral_scores(model, rows).select("shot_id", "cxg_prediction", "neutral_cxg", "opponent_adjusted_diff", "opponent_adjusted_ratio")
+    scored = MD.neutral_scores(model, rows)
+    return scored.select("shot_id", *[F.round(c, 6).alias(c) for c in ("cxg_prediction", "neutral_cxg", "opponent_adjusted_diff", "opponent_adjusted_ratio")])
 
 
 @register("style_clusters", S.query(CP._STYLE + ", " + NS.clusters("select *, true as train from st", R.STYLE_FEATURES, ["match_id", "team_id"]), """
