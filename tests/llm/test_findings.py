@@ -1,6 +1,7 @@
 """Cases of the second review: each was cut or missed before."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -56,3 +57,17 @@ def test_license_bodies_edited_and_across_windows(spark):
         want.append(names)
     found = {r.doc_id: r.licenses for r in S.licenses(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert [found[i] for i in range(len(docs))] == [",".join(sorted(w.split(","))) for w in want]
+
+
+def test_marks_are_in_every_match():
+    rng = random.Random(4)
+    known = [(re.sub(r"[^a-z0-9]+", " ", text.lower()).split(), least) for text, least in [(t, 80) for t in S.TEMPLATES.values()] + [(t, 80) for _, _, t in S.BODIES] + [(t, 100) for _, t in S.NOTICES]]
+    needed = S.marks(known)
+    assert all(len(w) > 4 for w in needed)
+    for words, least in known:
+        shingles = sorted({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+        bare = [s for s in shingles if not any(m in w for m in needed for w in s)]
+        assert 100 * len(bare) < least * len(shingles)
+        some = rng.sample(shingles, -(-least * len(shingles) // 100))
+        assert any(m in w for m in needed for s in some for w in s)
+    assert S.marks([(["a", "b", "c", "d", "e"], 80)]) and S.marks([]) == []

@@ -1,8 +1,9 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 A match of a template of ``t`` shingles is a stretch of ``2 t`` shingles of a text that holds at least 80 % of the template's. All is
-built-in functions. Hashes of shingles stand for shingles. A text without any shingle of any template cannot match and stops there; in
-the others, windows that hold one are cut. Windows have three sizes' worth of room for their templates: sizes double from class to
+built-in functions. Hashes of shingles stand for shingles. A text without any of a few words, of which every match must hold one, stops before
+it is cut into words; one without any shingle of any template stops there. In the others, each size class cuts windows around the shingles of
+its own templates. Windows have three sizes' worth of room for their templates: sizes double from class to
 class, a window is twice its class and starts at every half of itself, so that a stretch of a template lies in one window.
 
 Bands have one row. Where a window holds 80 % of its template, their Jaccard similarity is ``LEAST`` at least, and ``BANDS`` bands miss it with
@@ -18,6 +19,8 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,7 +104,34 @@ SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)])"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
+    return _split(ascii_lower(F.coalesce(text, F.lit(""))))
+
+
+def _split(low: Column) -> Column:
+    return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
+
+
+def marks(templates: list[tuple[list[str], int]]) -> list[str]:
+    """Words, given (words, least percentage) of each template, such that every text that holds the percentage of a template's shingles holds
+    one of them: the shingles without any are too few. Long words go first, as they are rarer in other texts."""
+    open_, out = [], []
+    for words, least in templates:
+        shingles = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        # (shingles without a chosen word, how many may be without one)
+        open_.append((shingles, -(-least * len(shingles) // 100) - 1))
+    while open_:
+        some = {w for shingles, _ in open_ for s in shingles for w in s}
+        some = {w for w in some if len(w) > 6} or some
+
+        def worth(word: str) -> tuple:
+            left = [(sum(not any(word in w for w in s) for s in shingles), spare) for shingles, spare in open_]
+            return sum(n <= spare for n, spare in left), -sum(n for n, _ in left), len(word), word
+
+        best = max(some, key=worth)
+        out.append(best)
+        open_ = [({s for s in shingles if not any(best in w for w in s)}, spare) for shingles, spare in open_]
+        open_ = [(shingles, spare) for shingles, spare in open_ if len(shingles) > spare]
+    return out
 
 
 def _shingles(words: Column) -> Column:
@@ -111,41 +141,48 @@ def _shingles(words: Column) -> Column:
     return F.when(n >= SHINGLE, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def _places(shingles: Column, own: list[int]) -> Column:
+    """Where shingles of ``own`` stand."""
+    return F.filter(F.transform(shingles, lambda h, i: F.when(h.isin(own), i)), lambda p: p.isNotNull())
+
+
 def _signature(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, band))))
 
 
-def _templates(spark: SparkSession, templates: dict[str, str] | None) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
-    """(id, name, family, least, own, size, klass) of each template, all hashes, and (class, longest template). Without ``templates`` all that
+def _templates(spark: SparkSession, templates: dict[str, str] | None) -> tuple[DataFrame, list[str], list[tuple[int, int, list[int]]]]:
+    """(id, name, family, least, own, size, klass) of each template, words of which a match holds one, and (class, longest template, hashes). Without ``templates`` all that
     are known here; a text of ``TEMPLATES`` or of the caller is a family of its own."""
     given = [(f"{name}/own", name, PERCENT, text) for name, text in sorted((TEMPLATES if templates is None else templates).items())]
     if templates is None:
         given += [(family, name, PERCENT, text) for family, name, text in BODIES] + [(f"{text}/notice", name, 100, text) for name, text in NOTICES]
     rows = [(i, *row) for i, row in enumerate(given)]
     words = spark.createDataFrame(rows, "id int, family string, name string, least int, t string").withColumn("_words", _words(F.col("t")))
-    found = words.select("id", "family", "name", "least", F.array_distinct(_shingles(F.col("_words"))).alias("own")).collect()
+    found = words.select("id", "family", "name", "least", F.array_distinct(_shingles(F.col("_words"))).alias("own"), "_words").collect()
     if short := [r.name for r in found if not r.own]:
         raise ValueError(f"templates without a shingle: {short}")
     data = [(*r[:4], list(r.own), len(r.own), 1 << math.ceil(math.log2(len(r.own)))) for r in found]
-    longest = {k: max(d[5] for d in data if d[6] == k) for k in {d[6] for d in data}}
+    classes = [(k, [d for d in data if d[6] == k]) for k in sorted({d[6] for d in data})]
     table = spark.createDataFrame(data, "id int, family string, name string, least int, own array<bigint>, size int, klass int")
-    return table, sorted({h for d in data for h in d[4]}), sorted(longest.items())
+    return table, marks([(r["_words"], r.least) for r in found]), [(k, max(d[5] for d in some), sorted({h for d in some for h in d[4]})) for k, some in classes]
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, license, place): each match of a document, ``place`` being its first shingle's word, from 0."""
-    known, hashes, classes = _templates(docs.sparkSession, templates)
-    all_hashes = F.array(*[F.lit(h) for h in hashes])
+    known, needed, classes = _templates(docs.sparkSession, templates)
+    all_hashes = F.array(*[F.lit(h) for h in sorted({h for _, _, own in classes for h in own})])
     tags = _spdx(docs, key, text) if templates is None else None
-    rows = docs.select(F.col(f"`{key}`").alias(key), _words(F.col(f"`{text}`").cast("string")).alias("_words"))
-    # the row number keeps the filter above the arrays: pushed below them it would split the text again for every shingle
+    low = ascii_lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    # the row number keeps each filter above what it reads: pushed below, it would be worked out again for every use
+    rows = docs.select(F.col(f"`{key}`").alias(key), low.alias("_low"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.where(reduce(or_, [F.contains(F.col("_low"), F.lit(w)) for w in needed], F.lit(False)) & (F.col("_at") >= 0))
+    rows = rows.select(key, "_at", _split(F.col("_low")).alias("_words"))
     rows = rows.select(key, _shingles(F.col("_words")).alias("_all"), F.monotonically_increasing_id().alias("_at"))
     rows = rows.where(F.arrays_overlap("_all", all_hashes) & (F.col("_at") >= 0))
-    rows = rows.withColumn("_met", F.array_intersect("_all", all_hashes))
-    places = F.filter(F.transform("_all", lambda h, i: F.when(F.array_contains("_met", h), i)), lambda p: p.isNotNull())
-    kinds = F.array(*[F.struct(F.lit(k).alias("klass"), F.lit(most).alias("most")) for k, most in classes])
-    rows = rows.withColumn("_places", places).select("*", F.explode(kinds).alias("k")).select(
-        key, "_at", "_all", "_places", F.col("k.klass").alias("klass"), F.col("k.most").alias("most")
+    # one look-up in a set of constants a shingle and class; what the generator gives is not worked out again
+    kinds = F.array(*[F.struct(F.lit(k).alias("klass"), F.lit(most).alias("most"), _places(F.col("_all"), own).alias("places")) for k, most, own in classes])
+    rows = rows.select(key, "_at", "_all", F.explode(kinds).alias("k")).where(F.size("k.places") > 0).select(
+        key, "_at", "_all", F.col("k.places").alias("_places"), F.col("k.klass").alias("klass"), F.col("k.most").alias("most")
     )
     # a window of 2 * klass shingles begins at every multiple of klass
     numbers = F.array_distinct(F.flatten(F.transform("_places", lambda p: F.array(F.floor(p / F.col("klass")), F.floor(p / F.col("klass")) - 1))))
