@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.tokens import Encoder, read_tokenizer
+from touchline.llm.tokens import read_tokenizer, shared_encoder
 from touchline.plans.staging import shared_folder
 
 SHARD_IDS = 1 << 19
 BASE = 1 << 17
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 4096, 12
 TABLE = 1 << 18
+#: words of each kind that a worker process remembers, and as many older ones
+REMEMBERED = 300_000
 _MAGIC = b"RPG1"
 
 
@@ -161,7 +163,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     keys_type = T.ArrayType(rows.schema["k"].dataType)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, number = Encoder(shared.value), TaskContext.get().partitionId(), 0
+        encode, part, number = shared_encoder(shared.value, REMEMBERED), TaskContext.get().partitionId(), 0
         keys, held, total = [], [], 0
 
         def shard():

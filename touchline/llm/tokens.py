@@ -129,6 +129,18 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def shared_encoder(json_text: str, bound: int) -> Encoder:
+    """The one encoder of a worker process: later tasks find the words that earlier ones met. What it remembers changes no result."""
+    key = (json_text, bound)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(json_text, bound)
+    return _ENCODERS[key]
+
+
 def read_tokenizer(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
