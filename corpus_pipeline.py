@@ -11,6 +11,9 @@ from touchline.llm.tokens import public
 from touchline.plans.staging import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
+# bounds of what a task holds at once: bytes that go to a Python worker in one batch, and bytes of a row group while it is written
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+ROW_GROUP = 32 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{k}_{name}")
+            docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    finally:
+        spark.conf.set(BATCH[0], before)
     return docs
