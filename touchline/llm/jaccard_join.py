@@ -7,7 +7,8 @@
 3. Between families an index lists, for each prefix token, families instead of sets, with a block's range of sizes and the most tokens
    that may follow its position. Lists are sorted by size and skipped from the first entry that is too large; entries whose positions
    leave too few tokens are skipped too. Pairs need several common prefix tokens, the more the larger they are.
-4. A pair of families is decided by its centres and the triangle inequality; members are looked at only where these leave a doubt.
+4. A pair of families is decided by its centres and the triangle inequality; members are looked at only where these leave a doubt. Linked
+   centres leave it for members that their own centre does not answer.
 
 The order of tokens puts frequent ones last. It is taken from a sample of sets and a bit table of fixed size; any order gives the same
 result, so the sample decides time, never answers.
@@ -349,6 +350,7 @@ def _met(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``."""
+    reach, joined = 1 - percent / 100 + 1e-9, 1 - percent / 100 + 1e-12
     sets = written(shingle_sets(docs, key, text, size).drop("tokens"))
     solid = sets.where("n > 0 and id is not null")
     nodes = written(
@@ -366,7 +368,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     frequent = bitmap(sampled.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT), "token")
     found = written(_deltas(own, frequent, percent))
     deltas = found.where("far is not null")
-    linked = deltas.where(F.col("far") <= 1 - percent / 100 + 1e-12).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    linked = deltas.where(F.col("far") <= joined).select(F.col("node").alias("u"), F.col("centre").alias("v"))
     inside = _inside(deltas, percent)
 
     # a node whose bit is set without being marked itself is one of a kind, and joins the marked ones that have no centre
@@ -384,19 +386,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spread = deltas.groupBy("centre").agg(F.max("far").alias("far"))
     centres = written(_overlaps(pairs, _one_each(docs, key, text, size, _met(pairs, reps))))
     across = centres.where(_linked(F.col("inner"), F.col("together"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    reach = 1 - percent / 100 + 1e-9
+    # linked centres join up what is linked to them; members that are not may still be linked with any of the other family
     doubt = (
-        centres.where(~_linked(F.col("inner"), F.col("together"), percent)).withColumn("far", 1 - F.col("inner") / F.col("together"))
+        centres.withColumns({"far": 1 - F.col("inner") / F.col("together"), "met": _linked(F.col("inner"), F.col("together"), percent)})
         .join(spread.select(F.col("centre").alias("a"), F.col("far").alias("ra")), "a", "left")
         .join(spread.select(F.col("centre").alias("b"), F.col("far").alias("rb")), "b", "left").fillna(0.0, ["ra", "rb"])
-        .where(F.col("far") <= reach + F.col("ra") + F.col("rb")).where("ra + rb > 0")
+        .where(F.col("far") <= reach + F.col("ra") + F.col("rb")).where(F.greatest("ra", "rb") > F.when(F.col("met"), joined).otherwise(0.0))
     )
     members = deltas.select("centre", "node", "far").unionByName(nodes.select(F.col("node").alias("centre"), "node", F.lit(0.0).alias("far")))
     doubt = (
         doubt.join(members.select(F.col("centre").alias("a"), F.col("node").alias("u"), F.col("far").alias("fu")), "a")
-        .where(F.col("fu") >= F.col("far") - reach - F.col("rb"))
+        .where(F.col("fu") >= F.col("far") - reach - F.col("rb")).where(F.col("fu") <= F.col("far") + reach + F.col("rb"))
         .join(members.select(F.col("centre").alias("b"), F.col("node").alias("v"), F.col("far").alias("fv")), "b")
-        .where(F.col("fu") + F.col("fv") >= F.col("far") - reach).where("u != a or v != b")
+        .where(F.col("fu") + F.col("fv") >= F.col("far") - reach).where(F.abs(F.col("fu") - F.col("fv")) <= F.col("far") + reach)
+        .where(F.greatest("fu", "fv") > F.when(F.col("met"), joined).otherwise(-1.0)).where("u != a or v != b")
     )
     doubt = written(doubt.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a != b").distinct())
     rest = _overlaps(doubt, _one_each(docs, key, text, size, _met(doubt, reps))).where(_linked(F.col("inner"), F.col("together"), percent))
@@ -415,7 +418,30 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest key of their component, with the columns they came with."""
-    found = jaccard_components(docs, key, text, size, percent)
-    gone = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{key}`"].cast("bigint") == gone["_gone"], "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    """The documents that are the smallest key of their component, with the columns they came with. Of rows that repeat a key, the one of
+    the smallest text stays. A row without a key is compared as the rest, under a number made from its text that is above all usual keys.
+    Rows without a word are no copies of anything: all of them stay."""
+    name, again = _free(docs, "_key"), _free(docs, "_again")
+    number = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`").cast("string")), 2) + F.lit(1 << 62)
+    named = docs.withColumn(name, F.coalesce(F.col(f"`{key}`").cast("bigint"), number))
+    found = jaccard_components(named, name, text, size, percent)
+    marks = written(
+        found.where("n_shingles > 0").groupBy(name).agg((F.max("component_id") == F.col(name)).alias(again), F.count("*").alias("_rows"))
+        .where(f"not {again} or _rows > 1").select(name, again)
+    )
+    words = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = named.where(words).join(marks, name, "left_anti").unionByName(named.where(~words))
+    repeated = marks.where(again)
+    if not repeated.isEmpty():
+        copies = named.where(words).join(repeated, name, "left_semi")
+        everything = F.struct(*[F.col(f"`{c}`") for c in copies.columns])
+        order = F.struct(F.col(f"`{text}`").cast("string").alias("t"), F.to_json(everything).alias("j"))
+        rest = rest.unionByName(copies.groupBy(name).agg(F.min_by(everything, order).alias("_one")).select("_one.*"))
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
