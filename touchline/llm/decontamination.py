@@ -262,9 +262,10 @@ def _pass(shared):
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", **names) -> DataFrame:
     """A row for each document: words, words hit, items met, their keys as a digest, spans, and whether it is contaminated."""
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    keys = F.array_distinct("_items")  # items that repeat a key count once
     return phrase_hits(docs, items, **names).select(
-        F.col("_row")[key].alias(key), F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
+        F.col("_row")[key].alias(key), F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size(keys).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(keys), ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
         F.array_join(F.transform("_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
     )
 
