@@ -253,6 +253,41 @@ def lineage_counts(spark, folder):
     return row_counts({"raw": raw, "shots": N.shot_rows(raw), "passes": N.pass_rows(raw)})
 
 
+@register("observed_ingest", S.query(S.N, """
+select match_id, sum(case when event_id%11 <> 0 then 1 else 0 end) as accepted, sum(case when event_id%11 = 0 or event_id%13 = 0 then 1 else 0 end) as rejected,
+  (select sum(case when event_id%11 <> 0 then 1 else 0 end) from n) as all_accepted,
+  (select sum(case when event_id%11 = 0 or event_id%13 = 0 then 1 else 0 end) from n) as all_rejected from n group by 1"""))
+def observed_ingest(spark, folder):
+    """A text for each event: some end too early, some have a second document with a field of another type."""
+    import uuid
+
+    from touchline.plans.ingest import ingest_documents
+    from touchline.plans.staging import shared_folder
+    from touchline.schemas import EVENT_DOC
+
+    texts = table(spark, folder, "events").selectExpr(
+        "user_id as match_id",
+        "concat('[{\"id\": \"e', event_id, '\", \"period\": 1}', if(event_id % 13 = 0, ', {\"id\": \"x\", \"period\": \"one\"}', ''), if(event_id % 11 = 0, '', ']')) as value",
+    )
+    good, bad, counts = ingest_documents(texts, "value", EVENT_DOC, "event_seq", f"{shared_folder(spark)}/observed/{uuid.uuid4().hex}")
+    both = good.selectExpr("match_id", "1 as a", "0 as r").unionByName(bad.selectExpr("match_id", "0 as a", "1 as r"))
+    return both.groupBy("match_id").agg(F.sum("a").alias("accepted"), F.sum("r").alias("rejected")).withColumns(
+        {"all_accepted": F.lit(counts["accepted"]), "all_rejected": F.lit(counts["rejected"])}
+    )
+
+
+_FIRST = "r as (select l_orderkey, l_partkey, l_suppkey, l_quantity, row_number() over (partition by l_partkey " \
+    "order by l_orderkey desc, l_linenumber desc, l_suppkey, l_quantity) as i from lineitem)"
+
+
+@register("first_label", S.query(_FIRST, """
+select p_partkey, l_orderkey, l_suppkey, l_quantity from part left join r on l_partkey = p_partkey and i = 1"""))
+def first_label(spark, folder):
+    """Labels that differ within a key: the first by position stays, not the smallest."""
+    lines = table(spark, folder, "lineitem").selectExpr("l_partkey as p_partkey", "l_orderkey", "l_suppkey", "l_quantity", "-l_orderkey as o", "-l_linenumber as n")
+    return J.attach(table(spark, folder, "part").select("p_partkey"), lines, ["p_partkey"], ["l_orderkey", "l_suppkey", "l_quantity"], order=["o", "n", "l_suppkey", "l_quantity"])
+
+
 @register("modelling_dataset", S.query(S.context(TEST_TOLERANCE), """
 select shot_id, match_id, team_id, opponent_team_id, player_id, k%2 = 0 as is_home, match_id%5 as competition_id,
   '20' || (15 + match_id%3) || '/' || (16 + match_id%3) as competition_season, xg as statsbomb_xg, goal as is_goal, shot_outcome,

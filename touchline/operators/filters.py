@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.joins import salted_join
+from touchline.operators.joins import first_rows, salted_join
 
 KEPT = "kept"
 
@@ -52,13 +52,13 @@ def with_scope_flag(df: DataFrame, allowed: DataFrame, key: str = "match_id", sp
     return salted_join(df, flags, [key], "left", [spread]).withColumn("__in_scope", F.coalesce("__in_scope", F.lit(False)))
 
 
-def apply_modelling_filters(df: DataFrame, allowed: DataFrame | None = None, key: str = "shot_id",
+def apply_modelling_filters(df: DataFrame, allowed: DataFrame | None = None, key: str = "shot_id", order: Sequence[str] = (),
                             **options: bool) -> DataFrame:
-    """Rows that pass every rule, one per shot."""
+    """Rows that pass every rule, one per shot: the first by ``order``, then the same one in every run."""
     scoped = df if allowed is None else with_scope_flag(df, allowed)
     in_scope = None if allowed is None else F.col("__in_scope")
     marked = with_first_failure(scoped, modelling_rules(df.columns, in_scope=in_scope, **options))
-    return marked.where(F.col("filter_rule") == KEPT).select(*df.columns).dropDuplicates([key])
+    return marked.where(F.col("filter_rule") == KEPT).select(*df.columns).transform(first_rows, [key], order)
 
 
 def filter_audit(df: DataFrame, allowed: DataFrame | None = None, **options: bool) -> DataFrame:

@@ -58,17 +58,43 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str] = ())
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    plain = [f.name for f in df.schema.fields if f.name in rest and f.name not in order and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    plain = [f.name for f in df.schema.fields if f.name in rest and f.name not in order and _comparable(f.dataType)]
     first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in [*order, *plain]]))
     return df.groupBy(*[F.col(f"`{c}`") for c in key]).agg(first.alias("__first")).select(
         *[F.col(f"`{c}`") if c in key else F.col("__first").getField(c).alias(c) for c in df.columns]
     )
 
 
+def _comparable(kind: T.DataType) -> bool:
+    """Whether Spark orders and hashes values of this type: anything without a map or variant in it."""
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    return _comparable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the first by ``order``; a hash of the row settles ties. For wide rows of which few repeat a key: repeats are found by
+    a count over the keys alone, and only rows of such keys move whole, combined within tasks, so a key may be as hot as it likes. Null is a
+    key like others. The source is read three times, so it should be a written table."""
+    names = [f"__key{i}" for i in range(len(key))]
+    repeated = df.groupBy(*[F.col(f"`{c}`").alias(n) for c, n in zip(key, names, strict=True)]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)]
+    rest = [c for c in df.columns if c not in key]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name in rest and _comparable(f.dataType)]
+    place = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(F.lit(0), *hashed).alias("h"))
+    first = F.min_by(F.struct(F.lit(0).alias("__any"), *[F.col(f"`{c}`") for c in rest]), place)
+    copies = df.join(repeated, same, "left_semi").groupBy(*[F.col(f"`{c}`") for c in key]).agg(first.alias("__first")).select(
+        *[F.col(f"`{c}`") if c in key else F.col("__first").getField(c).alias(c) for c in df.columns]
+    )
+    return df.join(repeated, same, "left_anti").unionByName(copies)
+
+
 def attach(base: DataFrame, labels: DataFrame, key: Sequence[str], columns: Sequence[str], spread: Sequence[str] = (),
-           policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
-    """Left join of one label row per key. The label table is reduced to one row per key first."""
-    slim = first_per_key(labels.select(*key, *columns), key)
+           policy: SplitPolicy | SplitDecision = DEFAULT_POLICY, order: Sequence[str] = ()) -> DataFrame:
+    """Left join of one label row per key. The label table is reduced to one row per key first: the first by ``order`` (the position of the
+    rows in their source, say), without it the smallest."""
+    asked = [*key, *columns]
+    slim = first_per_key(labels.select(*asked, *[c for c in order if c not in asked]), key, order).select(*asked)
     return salted_join(base, slim, key, "left", spread or key, policy=policy)
 
 
@@ -109,9 +135,9 @@ def attach_bucket_prior(shots: DataFrame, priors: DataFrame | None, key: Column,
     return joined.fillna({logit: 0.0, mult: 1.0})
 
 
-def insert_if_absent(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the source whose key is not in the target yet, one per key: the rows to append."""
-    return first_per_key(source, keys).join(target.select(*keys), list(keys), "left_anti")
+def insert_if_absent(source: DataFrame, target: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of the source whose key is not in the target yet, one per key (the first by ``order``): the rows to append."""
+    return first_per_key(source, keys, order).join(target.select(*keys), list(keys), "left_anti")
 
 
 def scope(df: DataFrame, allowed: DataFrame | None, keys: Sequence[str], spread: Sequence[str],

@@ -9,7 +9,7 @@ from touchline.functions.geometry import geometry_columns
 from touchline.functions.numeric import pressure_proxy
 from touchline.functions.timing import clock_seconds, minute_bucket_closed_right
 from touchline.operators.blocks import DEFAULT_POLICY, SplitDecision, SplitPolicy
-from touchline.operators.joins import broadcast_if_small, first_per_key, salted_join
+from touchline.operators.joins import broadcast_if_small, first_per_key, first_rows, salted_join
 from touchline.operators.sequences import counts_as_goal, possession_features, running_score
 
 _KEY = ["match_id", "event_id"]
@@ -51,12 +51,12 @@ def team_rows(matches: DataFrame) -> DataFrame:
 
 
 def match_rows(matches: DataFrame) -> DataFrame:
-    """Match table: one row per id; dates parse leniently, the kick-off time lands on 1970-01-01."""
+    """Match table: one row per id, the first of the documents; dates parse leniently, the kick-off time lands on 1970-01-01."""
     clock = F.when(F.col("kick_off").rlike(r"^\d{1,2}:\d{2}$"), F.concat("kick_off", F.lit(":00"))).otherwise(F.col("kick_off"))
     kickoff = F.when(clock.rlike(r"^\d{1,2}:\d{2}:\d{2}"), F.concat(F.lit("1970-01-01 "), clock).try_cast("timestamp_ntz"))
     # whole ISO dates or date-times; text with anything else behind is no date
     date = F.when(F.col("match_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.col("match_date").try_cast("timestamp_ntz"))
-    return first_per_key(matches, ["match_id"]).select(
+    return first_per_key(matches, ["match_id"], [c for c in ("competition_id", "season_id", "doc_seq") if c in matches.columns]).select(
         "match_id", "competition_id", "season_id", F.col("season.season_name").alias("season"),
         F.coalesce(F.col("home_team.home_team_id"), F.col("home_team.id")).alias("home_team_id"),
         F.coalesce(F.col("away_team.away_team_id"), F.col("away_team.id")).alias("away_team_id"),
@@ -88,7 +88,7 @@ def player_rows(raw: DataFrame) -> DataFrame:
 
 
 def raw_event_rows(docs: DataFrame) -> DataFrame:
-    """Raw events with defaults, one per (match, event id): the first position wins."""
+    """Raw events with defaults, one per (match, event id): the first position wins. Only rows of repeated ids move whole."""
     filled = docs.where(F.col("id").isNotNull()).withColumns(
         {
             "type": F.struct(F.col("type.id").alias("id"), F.coalesce("type.name", F.lit("Unknown")).alias("name")),
@@ -97,9 +97,7 @@ def raw_event_rows(docs: DataFrame) -> DataFrame:
             "second": F.coalesce("second", F.lit(0)),
         }
     )
-    rest = [c for c in filled.columns if c not in ("match_id", "id")]
-    first = F.min_by(F.struct(*rest), F.col("event_seq"))
-    return filled.groupBy("match_id", "id").agg(first.alias("__row")).select("match_id", "id", "__row.*")
+    return first_rows(filled, ["match_id", "id"], ["event_seq"])
 
 
 def event_outcome(kind: Column) -> Column:

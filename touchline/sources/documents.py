@@ -20,6 +20,22 @@ def explode_documents(texts: DataFrame, text: str, schema: T.StructType, positio
     return texts.select(*keep, F.posexplode(parsed).alias(position, "__doc")).select(*keep, position, "__doc.*")
 
 
+def tolerant_documents(texts: DataFrame, text: str, schema: T.StructType, position: str) -> DataFrame:
+    """As ``explode_documents``, but nothing fails: a text that is no JSON array is one row without a position, an element that does not fit
+    the schema one row without fields. ``reject`` holds the text of either and is null for documents that were read."""
+    keep = [c for c in texts.columns if c != text]
+    elements = texts.withColumn("__all", F.from_json(F.col(text), T.ArrayType(T.StringType())))
+    whole = F.when(F.col("__all").isNull(), F.coalesce(F.col(text), F.lit("")))
+    rows = elements.where("__all is null or size(__all) > 0").select(*keep, whole.alias("__text"), F.posexplode_outer("__all").alias(position, "__one"))
+    marked = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    parsed = F.from_json("__one", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    rows = rows.withColumn("__doc", parsed).withColumn(
+        "reject", F.when(F.col("__text").isNotNull(), F.col("__text")).when(F.col("__one").isNull(), F.lit("null")).otherwise(F.col("__doc.__bad"))
+    )
+    fields = [F.when(F.col("reject").isNull(), F.col("__doc").getField(f.name)).alias(f.name) for f in schema.fields]
+    return rows.select(*keep, position, "reject", *fields)
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("__path", F.input_file_name())
 
@@ -45,9 +61,13 @@ def read_matches(spark: SparkSession, root: str) -> DataFrame:
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """Event documents with match id and position. One file is one match, the unit of parallelism of this layout."""
-    files = _files(spark, f"{root}/events/*.json")
+    return explode_documents(event_texts(spark, root), "value", EVENT_DOC, "event_seq")
+
+
+def event_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Event files as (value, match_id)."""
     match_id = F.regexp_extract("__path", r"events/(\d+)\.json", 1).cast("long")
-    return explode_documents(files.select("value", match_id.alias("match_id")), "value", EVENT_DOC, "event_seq")
+    return _files(spark, f"{root}/events/*.json").select("value", match_id.alias("match_id"))
 
 
 def stream_events(spark: SparkSession, root: str) -> DataFrame:
