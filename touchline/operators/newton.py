@@ -2,8 +2,8 @@
 
 The models of one call share their input rows and a raw basis: numbers as they are (less a common centre), flags for missing values, flags for the
 levels of categories. Filling, scaling and one-hot encoding of each model is a small matrix on that basis, so what a step needs of the rows
-are sums over the basis: ``sum p x`` for the gradients and ``sum p (1 - p) x x'`` for the Hessians, a weight column for each model and a vector sum over
-the products that all models share. The input is staged once with the needed columns; constants take one scan of it, each step another.
+are sums over the basis: ``sum p x`` for the gradients and ``sum p (1 - p) x x'`` for the Hessians, by generated code over a small basis and by
+products of matrices over a wide one. The input is staged once with the needed columns; constants take one scan of it, each step another.
 
 The objective is the sum of losses plus ``|coefficients|^2 / (2 c)`` without the intercept, features scaled by the population deviation.
 """
@@ -16,8 +16,7 @@ from dataclasses import asdict, dataclass, field
 from types import SimpleNamespace
 
 import numpy as np
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,7 +128,8 @@ class _Basis:
     def add(self, key: tuple, column: Column) -> None:
         if key not in self.places:
             self.places[key] = len(self.places)
-            self.columns.append(column.cast("double"))
+            # numbers of flags' columns may be any; what is missing, and the levels, are 0 or 1
+            self.columns.append(column.cast("double" if key[0] in ("x", "b") else "byte"))
 
 
 @dataclass
@@ -264,19 +264,20 @@ def _unpacked(sums: np.ndarray, weight: float, size: int) -> np.ndarray:
 class _ScalarSums:
     """Sums over a small basis, a column each: all of it is generated code."""
 
-    def __init__(self, flat: DataFrame, names: list[str]) -> None:
-        self.rows, self._names = flat, names
+    def __init__(self, flat: DataFrame, names: list[str], models: int) -> None:
+        self._rows, self._names = flat, names
+        self._members = [F.col(f"__in_{k}") for k in range(models)]
         self._products = [p for i, n in enumerate(names) for p in ((n,), *[(names[j], n) for j in range(i + 1)])]
 
-    def margin(self, raw: list[float]) -> Column:
+    def _margin(self, raw: list[float]) -> Column:
         # the coefficients stand in an array, so that every step has the same code
         terms = F.zip_with(F.array(*[F.col(n) for n in self._names]), F.array(*[F.lit(v) for v in raw[1:]]), lambda x, v: x * v)
         return F.aggregate(terms, F.element_at(F.array(F.lit(raw[0])), 1), lambda s, t: s + t)
 
-    def first(self, weight: Column, name: str) -> list[Column]:
+    def _first(self, weight: Column, name: str) -> list[Column]:
         return [F.sum(weight * F.col(n)).alias(f"{name}_{j}") for j, n in enumerate(self._names)]
 
-    def second(self, weight: Column, name: str) -> list[Column]:
+    def _second(self, weight: Column, name: str) -> list[Column]:
         out = []
         for j, factors in enumerate(self._products):
             value = weight
@@ -285,40 +286,87 @@ class _ScalarSums:
             out.append(F.sum(value).alias(f"{name}_{j}"))
         return out
 
-    def read_first(self, row, name: str) -> np.ndarray:
-        return np.array([row[f"{name}_{j}"] for j in range(len(self._names))])
-
-    def read_second(self, row, name: str) -> np.ndarray:
-        return np.array([row[f"{name}_{j}"] for j in range(len(self._products))])
-
-
-class _VectorSums:
-    """Sums over a wide basis: one vector sum for each model and step, over products that all models share and that keep zeros out."""
-
-    def __init__(self, flat: DataFrame, names: list[str]) -> None:
-        vectors = VectorAssembler(inputCols=names, outputCol="__x").transform(flat)
-        self.rows, self._names = PolynomialExpansion(degree=2, inputCol="__x", outputCol="__xx").transform(vectors), names
-
-    def margin(self, raw: list[float]) -> Column:
-        out = F.lit(raw[0])
-        for n, v in zip(self._names, raw[1:], strict=True):
-            out = out + F.col(n) * v if v else out
-        return out
-
-    @staticmethod
-    def _sum(column: str, weight: Column, name: str) -> list[Column]:
-        return [Summarizer.metrics("sum").summary(F.col(column), weight)["sum"].alias(name)]
-
-    def first(self, weight: Column, name: str) -> list[Column]:
-        return self._sum("__x", weight, name)
-
-    def second(self, weight: Column, name: str) -> list[Column]:
-        return self._sum("__xx", weight, name)
-
-    def read_first(self, row, name: str) -> np.ndarray:
-        return row[name].toArray()
-
-    read_second = read_first
+    def begin(self) -> list[tuple[float, np.ndarray]]:
+        """Rows of each model and its sums of ``y x``."""
+        aggs = []
+        for k, member in enumerate(self._members):
+            one = F.when(member, 1.0).otherwise(0.0)
+            aggs += [F.sum(one).alias(f"n{k}"), F.sum(one * F.col("__y")).alias(f"y{k}"), *self._first(one * F.col("__y"), f"t{k}")]
+        hits = self._rows.agg(*aggs).first()
+        return [(hits[f"n{k}"], np.array([hits[f"y{k}"], *[hits[f"t{k}_{j}"] for j in range(len(self._names))]])) for k in range(len(self._members))]
+
+    def step(self, raw: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """Loss, ``sum p x`` and ``sum p (1 - p) x x'`` of each model, whose coefficients on the basis are given."""
+        step = self._rows.withColumns({f"__m{k}": self._margin(v.tolist()) for k, v in raw.items()})
+        step = step.withColumns({f"__p{k}": F.when(self._members[k], probability(F.col(f"__m{k}"))).otherwise(0.0) for k in raw})
+        step = step.withColumns({f"__w{k}": F.col(f"__p{k}") * (1 - F.col(f"__p{k}")) for k in raw})
+        aggs = []
+        for k in raw:
+            m, chance, weight = F.col(f"__m{k}"), F.col(f"__p{k}"), F.col(f"__w{k}")
+            loss = F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - F.col("__y") * m
+            aggs += [F.sum(F.when(self._members[k], loss)).alias(f"l{k}"), F.sum(chance).alias(f"p{k}"), F.sum(weight).alias(f"q{k}"), *self._first(chance, f"g{k}"), *self._second(weight, f"w{k}")]
+        found, size = step.agg(*aggs).first(), len(self._names)
+        return {
+            k: (
+                found[f"l{k}"], np.array([found[f"p{k}"], *[found[f"g{k}_{j}"] for j in range(size)]]),
+                _unpacked(np.array([found[f"w{k}_{j}"] for j in range(len(self._products))]), found[f"q{k}"], size),
+            )
+            for k in raw
+        }
+
+
+class _MatrixSums:
+    """Sums over a wide basis: each task multiplies matrices of its rows and hands on one row of sums for each model. What the tasks found is added
+    up by place, so the driver gets each sum once."""
+
+    def __init__(self, flat: DataFrame, names: list[str], models: int) -> None:
+        self._rows, self._width = flat, len(names)
+        self._members = [f"__in_{k}" for k in range(models)]
+
+    def _added(self, work) -> dict[int, np.ndarray]:
+        found = self._rows.mapInArrow(work, "k int, s array<double>").select("k", F.posexplode("s").alias("at", "v")).groupBy("k", "at").agg(F.sum("v").alias("v"))
+        out: dict[int, list] = {}
+        for r in found.orderBy("k", "at").toLocalIterator():
+            out.setdefault(r["k"], []).append(r["v"])
+        return {k: np.array(v) for k, v in out.items()}
+
+    def _task(self, models: Sequence[int], one):
+        """The work of a task: ``one(k, x, y)`` are the sums of a model's rows, added up over batches. ``x`` begins with the intercept."""
+        members, width = self._members, self._width
+
+        def work(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                y = columns["__y"].to_numpy(zero_copy_only=False)
+                x = np.ones((len(y), width + 1), order="F")
+                for j in range(width):
+                    x[:, j + 1] = columns[f"__r{j}"].to_numpy(zero_copy_only=False)
+                for k in models:
+                    member = columns[members[k]].to_numpy(zero_copy_only=False).astype(bool)
+                    found = one(k, *((x, y) if member.all() else (x[member], y[member])))
+                    sums[k] = sums[k] + found if k in sums else found
+            for k, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v], pa.list_(pa.float64()))], names=["k", "s"])
+
+        return work
+
+    def begin(self) -> list[tuple[float, np.ndarray]]:
+        """Rows of each model and its sums of ``y x``."""
+        found = self._added(self._task(range(len(self._members)), lambda k, x, y: np.concatenate(([len(y)], y @ x))))
+        return [(float(found[k][0]), found[k][1:]) for k in range(len(self._members))]
+
+    def step(self, raw: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """Loss, ``sum p x`` and ``sum p (1 - p) x x'`` of each model, whose coefficients on the basis are given."""
+        def one(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            m = x @ raw[k]
+            small = np.exp(-np.abs(m))
+            p = np.where(m >= 0, 1.0, small) / (1 + small)
+            loss = (np.log1p(small) + np.maximum(m, 0) - y * m).sum()
+            return np.concatenate(([loss], p @ x, (x.T @ (x * (p * (1 - p))[:, None])).ravel()))
+
+        side = self._width + 1
+        return {k: (float(v[0]), v[1 : side + 1], v[side + 1 :].reshape(side, side)) for k, v in self._added(self._task(list(raw), one)).items()}
 
 
 def fit_models(df: DataFrame, specs: Sequence[ModelSpec], target: str = "is_goal") -> list[FittedModel]:
@@ -328,42 +376,30 @@ def fit_models(df: DataFrame, specs: Sequence[ModelSpec], target: str = "is_goal
     size = len(basis.columns)
     names = [f"__r{j}" for j in range(size)]
     flat = rows.select("__y", *[F.col(f"__in_{k}") for k in range(len(specs))], *[c.alias(n) for c, n in zip(basis.columns, names, strict=True)])
-    summed = _ScalarSums(flat, names) if len(problems) * (size + 1) * (size + 2) // 2 <= MOST_SCALARS else _VectorSums(flat, names)
-    # the sums of y x; a summary needs some weight, so one more is given to each row and taken off again
-    aggs = []
-    for k, p in enumerate(problems):
-        one = F.when(p.member, 1.0).otherwise(0.0)
-        aggs += [F.sum(one).alias(f"n{k}"), F.sum(one * F.col("__y")).alias(f"y{k}"), *summed.first(one, f"o{k}"), *summed.first(one * (1 + F.col("__y")), f"t{k}")]
-    hits = summed.rows.agg(*aggs).first()
-    goals = [np.concatenate(([hits[f"y{k}"]], summed.read_first(hits, f"t{k}") - summed.read_first(hits, f"o{k}"))) for k in range(len(problems))]
-    for k, p in enumerate(problems):
+    scalar = len(problems) * (size + 1) * (size + 2) // 2 <= MOST_SCALARS
+    # each step reads all of a wide basis, so its flags are compared with their levels once
+    summed = _ScalarSums(flat, names, len(problems)) if scalar else _MatrixSums(written(flat), names, len(problems))
+    goals = []
+    for p, (count, hits) in zip(problems, summed.begin(), strict=True):
+        goals.append(hits)
         # begin at the share of goals, which is where most of the first steps go
-        share = min(max(hits[f"y{k}"] / hits[f"n{k}"], 1e-6), 1 - 1e-6)
+        share = min(max(hits[0] / count, 1e-6), 1 - 1e-6)
         p.at[0] = np.log(share / (1 - share))
     for _ in range(MAX_STEPS):
         open_ = [(k, p) for k, p in enumerate(problems) if not p.done]
         if not open_:
             break
-        margins = {f"__m{k}": summed.margin((p.design @ p.at).tolist()) for k, p in open_}
-        step = summed.rows.withColumns(margins)
-        step = step.withColumns({f"__p{k}": F.when(p.member, probability(F.col(f"__m{k}"))).otherwise(0.0) for k, p in open_})
-        step = step.withColumns({f"__w{k}": F.col(f"__p{k}") * (1 - F.col(f"__p{k}")) for k, p in open_})
-        aggs = []
-        for k, p in open_:
-            m, chance, weight = F.col(f"__m{k}"), F.col(f"__p{k}"), F.col(f"__w{k}")
-            loss = F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - F.col("__y") * m
-            aggs += [F.sum(F.when(p.member, loss)).alias(f"l{k}"), F.sum(chance).alias(f"p{k}"), F.sum(weight).alias(f"q{k}"), *summed.first(chance, f"g{k}"), *summed.second(weight, f"w{k}")]
-        found = step.agg(*aggs).first()
+        found = summed.step({k: p.design @ p.at for k, p in open_})
         for k, p in open_:
-            loss = found[f"l{k}"] + 0.5 * float(p.penalty @ p.at**2)
+            lost, expected, second = found[k]
+            loss = lost + 0.5 * float(p.penalty @ p.at**2)
             if loss > p.loss * (1 + 1e-12) and p.step is not None and np.abs(p.step).max() > SMALL_STEP:
                 # too far: half of the last step from where it began
                 p.step = p.step / 2
                 p.at = p.before + p.step
                 continue
-            expected = np.concatenate(([found[f"p{k}"]], summed.read_first(found, f"g{k}")))
             gradient = p.design.T @ (expected - goals[k]) + p.penalty * p.at
-            curve = p.design.T @ _unpacked(summed.read_second(found, f"w{k}"), found[f"q{k}"], size) @ p.design + np.diag(p.penalty)
+            curve = p.design.T @ second @ p.design + np.diag(p.penalty)
             move = -np.linalg.lstsq(curve, gradient, rcond=None)[0]
             p.before, p.step, p.loss = p.at, move, loss
             p.at = p.at + move
