@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.asof import asof_backward
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy
+from touchline.operators.joins import broadcast_if_small
 from touchline.plans.staging import written
 
 BLOCK = 512
@@ -44,14 +45,18 @@ class Isotonic:
     def transform(self, df: DataFrame, score: str, output: str, policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
         if self.last is None:
             return df.withColumn(output, F.when(F.col(score).isNotNull(), F.lit(None).cast("double")))
-        rows = df.withColumns({_ALL: F.lit(0), "__iso_at": -F.col(score).cast("double"), "__iso_id": F.xxhash64(score)})
+        # the fit of each distinct score, however many rows have it; the rows themselves only meet it in a join
+        scores = df.select(F.col(score).cast("double").alias("__iso_x")).where("__iso_x is not null and not isnan(__iso_x)").distinct()
+        scores = written(scores).withColumns({_ALL: F.lit(0), "__iso_at": -F.col("__iso_x"), "__iso_id": F.lit(0).cast("long")})
         right = self.steps.select(F.lit(0).alias(_ALL), (-F.col("upto")).alias("__iso_upto"), F.lit(0).cast("long").alias("__iso_step"), "start", "value", "old_upto", "old_value")
         # the smallest upper end at or above a score is the latest step of the negated ones
-        found = asof_backward(rows, right, [_ALL], "__iso_at", "__iso_upto", "__iso_id", "__iso_step", ["start", "value", "old_upto", "old_value"], prefix="__at_", policy=policy)
-        x, start, value, old, low = F.col(score), *[F.col(f"__at_{c}") for c in ("start", "value", "old_upto", "old_value")]
+        found = asof_backward(scores, right, [_ALL], "__iso_at", "__iso_upto", "__iso_id", "__iso_step", ["start", "value", "old_upto", "old_value"], prefix="__at_", policy=policy)
+        x, start, value, old, low = F.col("__iso_x"), *[F.col(f"__at_{c}") for c in ("start", "value", "old_upto", "old_value")]
         between = low + (value - low) * (x - old) / (start - old)
-        fitted = F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(None).cast("double")).when(value.isNull(), F.lit(self.last)).when((x < start) & old.isNotNull(), between).otherwise(value)
-        return found.withColumn(output, fitted).select(*df.columns, output)
+        fitted = F.when(value.isNull(), F.lit(self.last)).when((x < start) & old.isNotNull(), between).otherwise(value)
+        table = written(found.select("__iso_x", fitted.alias(output)))
+        rows = df.withColumn("__iso_x", F.nullif(F.col(score).cast("double"), F.lit(float("nan"))))
+        return rows.join(broadcast_if_small(table), "__iso_x", "left").select(*[F.col(f"`{c}`") for c in df.columns], output)
 
 
 def fit_isotonic(df: DataFrame, score: str, target: Column, policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> Isotonic:
