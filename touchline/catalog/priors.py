@@ -17,6 +17,7 @@ from touchline.operators.model import bucket_table
 from touchline.operators.quantiles import medians
 from touchline.operators.reports import entity_aggregates, finishing_delta, match_table, season_table, top_entities
 from touchline.operators.sequences import possessions
+from touchline.plans.staging import written
 
 
 def _side_shots(spark, folder):
@@ -107,8 +108,8 @@ FORM_FEATURES = ["shots_for", "xg_for", "shots_against", "xg_against"]
 
 
 def _holdout_form(spark, folder):
-    """Form of all sides, of which one season is the holdout, and the condition that leaves it out."""
-    form = _form(spark, folder).withColumn("is_holdout", F.year("match_date") == 1999)
+    """Form of all sides, of which one season is the holdout, and the condition that leaves it out. Written once: fit and bias read it."""
+    form = written(_form(spark, folder).withColumn("is_holdout", F.year("match_date") == 1999))
     return form, ~F.col("is_holdout")
 
 

@@ -1,14 +1,17 @@
 """k-means as repeated aggregates: farthest-point start, then Lloyd steps, both without drawing anything at random.
 
 The driver holds the centres, at most ``k`` short rows. A starting step takes the row farthest from the centres so far (ties by the features, the
-greatest first); a Lloyd step averages the rows of each centre. Assignment is an expression over the centres, so nothing is joined.
+greatest first); a Lloyd step averages the rows of each centre. In both, tasks hand on a few sums or one row each, found over whole batches at a
+time. Assignment is an expression over the centres, so nothing is joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,49 @@ def _nearest(row: Sequence[Column], centres: Sequence[Sequence[float]]) -> Colum
     return F.array_min(F.transform(F.lit([[float(v) for v in c] for c in centres]), lambda c, j: F.struct(square(c).alias("d"), j.alias("j"))))
 
 
+def _distances(batch: pa.RecordBatch, centres: Sequence[Sequence[float]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns of a batch, and of each row the squared distance to the nearest centre and its number, the first of equal ones."""
+    columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    squares = np.empty((len(centres), batch.num_rows))
+    for j, centre in enumerate(centres):
+        squares[j] = sum((x - v) * (x - v) for x, v in zip(columns, centre, strict=True))
+    near = squares.argmin(axis=0)
+    return columns, squares[near, np.arange(len(near))], near
+
+
+def _farthest(rows: DataFrame, centres: Sequence[Sequence[float]]):
+    """The row farthest from its centre as (d, features), the greatest features among equal ones; None without rows."""
+    names = rows.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns, d, _ = _distances(batch, centres)
+                top = np.flatnonzero((d == d.max()) | np.isnan(d))
+                at = top[np.lexsort([c[top] for c in reversed(columns)])[-1]]
+                yield pa.RecordBatch.from_arrays([pa.array([v[at]], pa.float64()) for v in (d, *columns)], names=["d", *names])
+
+    found = rows.mapInArrow(work, ", ".join(f"{n} double" for n in ("d", *names)))
+    return found.agg(F.max(F.struct("d", *names)).alias("far")).first()["far"]
+
+
+def _sums(rows: DataFrame, centres: Sequence[Sequence[float]]) -> dict:
+    """Of each centre that has rows: their number ``n``, the sum ``d`` of their squared distances and the sums of their features."""
+    names = ["n", "d", *rows.columns]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(centres), len(names)))
+        for batch in batches:
+            columns, d, near = _distances(batch, centres)
+            for i, v in enumerate((np.ones(len(d)), d, *columns)):
+                sums[:, i] += np.bincount(near, v, len(centres))
+        some = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(v, pa.float64()) for v in sums[some].T]], names=["j", *names])
+
+    found = rows.mapInArrow(work, ", ".join(["j int", *[f"{n} double" for n in names]]))
+    return {r["j"]: r for r in found.groupBy("j").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+
+
 def fit_clusters(df: DataFrame, features: Sequence[str], train: Column, k: int, steps: int = STEPS) -> Clusters:
     """Features are scaled by all rows; centres come from the training rows. Fewer distinct training rows than ``k`` give fewer clusters; none
     gives one cluster around the mean."""
@@ -56,10 +102,9 @@ def fit_clusters(df: DataFrame, features: Sequence[str], train: Column, k: int,
     out = Clusters(list(features), [stats[f"m_{f}"] or 0.0 for f in features], [stats[f"s_{f}"] or 1.0 for f in features], [], [], 0.0)
     names = [f"z{i}" for i in range(len(features))]
     rows = written(df.where("__train").select(*[c.alias(n) for c, n in zip(out.scaled(), names, strict=True)]))
-    row = [F.col(n) for n in names]
     origin = [[0.0] * len(features)]
     for _ in range(k):
-        found = rows.select(_nearest(row, out.centres or origin)["d"].alias("d"), *row).agg(F.max(F.struct("d", *names)).alias("far")).first()["far"]
+        found = _farthest(rows, out.centres or origin)
         if found is None or (out.centres and found["d"] <= 0):
             break
         out.centres.append([found[n] for n in names])
@@ -67,15 +112,13 @@ def fit_clusters(df: DataFrame, features: Sequence[str], train: Column, k: int,
         out.centres, out.sizes = origin, [0]
         return out
     for _ in range(steps):
-        near = rows.withColumn("near", _nearest(row, out.centres))
-        means = {r["j"]: [r[n] for n in names] for r in near.groupBy(F.col("near.j").alias("j")).agg(*[F.avg(n).alias(n) for n in names]).collect()}
+        means = {j: [r[n] / r["n"] for n in names] for j, r in _sums(rows, out.centres).items()}
         centres = [means.get(j, c) for j, c in enumerate(out.centres)]
         moved = sum((a - b) ** 2 for new, old in zip(centres, out.centres, strict=True) for a, b in zip(new, old, strict=True))
         out.centres = centres
         if moved <= STILL:
             break
-    near = rows.withColumn("near", _nearest(row, out.centres))
-    sums = {r["j"]: r for r in near.groupBy(F.col("near.j").alias("j")).agg(F.count(F.lit(1)).alias("n"), F.sum("near.d").alias("d")).collect()}
-    out.sizes = [sums[j]["n"] if j in sums else 0 for j in range(out.count)]
+    sums = _sums(rows, out.centres)
+    out.sizes = [int(sums[j]["n"]) if j in sums else 0 for j in range(out.count)]
     out.inertia = float(sum(r["d"] for r in sums.values()))
     return out

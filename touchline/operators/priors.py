@@ -16,6 +16,7 @@ from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecisio
 from touchline.operators.joins import require_columns
 from touchline.operators.quantiles import medians
 from touchline.operators.sequences import first_rows
+from touchline.plans.staging import written
 
 _MEASURES = {"goals": "goals", "shots": "shots", "xg": "xg"}
 
@@ -68,8 +69,9 @@ def rolling_form(sides: DataFrame, windows: Sequence[int] = C.ROLLING_WINDOWS,
                  policy: SplitPolicy | SplitDecision = DEFAULT_POLICY) -> DataFrame:
     """Match number in the season and sums over the previous matches, for and against. Only earlier matches count.
 
-    ``sides`` are the rows of ``match_sides``; their group sizes are read before the join with the opponent's rows.
+    ``sides`` are the rows of ``match_sides``; they are written once, for their group sizes are read before the join with the opponent's rows.
     """
+    sides = written(sides)
     key = ["competition_season_key", "team_id"]
     decision = decide(sides, key, policy)
     dated = with_against(sides).withColumn("__undated", F.col("match_date").isNull())
