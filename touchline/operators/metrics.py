@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -323,6 +326,8 @@ def ks_distance(df: DataFrame, value: str, group: str, first: object, second: ob
 
 
 DRAW_PRIME = 2_147_483_647
+#: groups whose draws are held at once
+DRAW_ROWS = 128
 
 
 def draw_seed(group: Column, kind: T.DataType) -> Column:
@@ -373,17 +378,130 @@ def bootstrap_difference(df: DataFrame, group: str, first: str, second: str, tar
     return interval.select(point.scalar().alias("estimate"), "low", "high")
 
 
+def _poisson_thresholds() -> list[int]:
+    """The least numbers under the prime whose draw is at least 1, 2, ... 16: those that reach each step of the distribution function."""
+    import math
+
+    out, cumulative = [], 0.0
+    for k in range(16):
+        cumulative += math.exp(-1.0) / math.factorial(k)
+        least = int(cumulative * DRAW_PRIME)
+        while least and (least - 1) / float(DRAW_PRIME) >= cumulative:
+            least -= 1
+        while least / float(DRAW_PRIME) < cumulative:
+            least += 1
+        out.append(least)
+    return out
+
+
+def _poisson_draws(groups: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """``poisson_weight`` of (group, replicate, seed) for replicates from 1 on: a row for each group, numbers in 64 bits as Spark computes them."""
+    group, thresholds = groups[:, None], _poisson_thresholds()
+    h = group
+    for k, part in enumerate((np.arange(1, replicates + 1), seed, 97, 1009)):
+        h = h * [48271, 69621, 40692][k % 3] + part
+        # a remainder has the sign of what is divided; only a seed may be under zero, and the division by a constant is the faster one
+        h = np.fmod(h, DRAW_PRIME) if k == 1 and seed < 0 else h - h // DRAW_PRIME * DRAW_PRIME
+        h = h * h + group
+        h -= h // DRAW_PRIME * DRAW_PRIME
+    out = np.zeros(h.shape, np.int64)
+    for least in thresholds:
+        hit = h >= least
+        if not hit.any():
+            break
+        out += hit
+    return out
+
+
+_SEGMENT = "segment int, score string, replicate int, pos bigint, neg bigint, twice bigint"
+
+
+def _ranked_segments(batches: Iterator[pa.RecordBatch], replicates: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Sums of one range of scores, a row for each replicate: its lowest score (segment 0), its highest (2), which a neighbouring range may share,
+    and all between them (1) with ``twice`` the credit that they give each other. The counts come in order of their score."""
+    names = [n.split()[0] for n in _SEGMENT.split(", ")]
+    number = np.arange(1, replicates + 1, dtype=np.int32)
+    first: tuple | None = None
+    last: tuple | None = None
+    middle = np.zeros((3, replicates), np.int64)
+
+    def segment(k: int, score: str | None, pos: np.ndarray, neg: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        values = [np.full(replicates, k, np.int32), [score] * replicates, number, pos, neg, twice]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+    def close(score: str, pos: np.ndarray, neg: np.ndarray) -> None:
+        nonlocal first
+        if first is None:
+            first = (score, pos, neg)
+            return
+        middle[2] += pos * (2 * middle[1] + neg)
+        middle[0] += pos
+        middle[1] += neg
+
+    for batch in batches:
+        scores = batch.column(0).to_pylist()
+        groups, pos, neg = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        for at in range(0, batch.num_rows, DRAW_ROWS):
+            part = slice(at, at + DRAW_ROWS)
+            some = scores[part]
+            begins = [i for i, s in enumerate(some) if i == 0 or s != some[i - 1]]
+            w = _poisson_draws(groups[part], replicates, seed)
+            sums = [np.add.reduceat(w * n[part][:, None], begins, axis=0) for n in (pos, neg)]
+            for i, begin in enumerate(begins):
+                if last is not None and last[0] == some[begin]:
+                    last = (last[0], last[1] + sums[0][i], last[2] + sums[1][i])
+                else:
+                    if last is not None:
+                        close(*last)
+                    last = (some[begin], sums[0][i], sums[1][i])
+    zero = np.zeros(replicates, np.int64)
+    if first is not None:
+        yield segment(0, *first, zero)
+        yield segment(1, None, *middle)
+    if last is not None:
+        yield segment(2, *last, zero)
+
+
+def _replicate_aucs(df: DataFrame, group: str, score: str, target: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, auc), with the groups of a replicate weighted by its draws. Counts per score and group are dealt by ranges of the score, a
+    score of many groups over several; tasks draw and rank their range for all replicates, and only sums of ranges meet by replicate."""
+    y = _target(target)
+    seeds = draw_seed(F.col(group), df.schema[group].dataType)
+    counts = df.groupBy(F.col(score).alias("score"), seeds.alias("g")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    ranges = counts.repartitionByRange("score", "g").sortWithinPartitions("score", "g").select(
+        F.coalesce(F.col("score").cast("string"), F.lit("")).alias("score"), "g", "pos", "neg", F.spark_partition_id().alias("range")
+    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: list[int] = []
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    place[:] = [batch.column(4)[0].as_py()]
+                    yield batch
+
+        for out in _ranked_segments(noted(), replicates, seed):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, place[0], np.int32)), *out.columns], names=["range", *out.schema.names])
+
+    segments = ranges.mapInArrow(work, f"range int, {_SEGMENT}")
+    # a score that ranges share is one score
+    key = F.coalesce("score", F.concat(F.lit("range "), F.col("range").cast("string")))
+    whole = segments.groupBy("replicate", key.alias("key")).agg(
+        F.min(F.struct("range", "segment")).alias("at"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        (F.sum("twice") + F.when(F.max("score").isNotNull(), F.sum("pos") * F.sum("neg")).otherwise(0)).alias("twice"),
+    )
+    below = W.partitionBy("replicate").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    ranked = whole.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    credit = F.sum(F.col("pos").cast("double") * F.col("below") + F.col("twice") / 2)
+    return ranked.groupBy("replicate").agg(F.try_divide(credit, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+
+
 def bootstrap_auc_difference(df: DataFrame, group: str, first: str, second: str, target: str = "is_goal",
                              replicates: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """The same interval for AUC(first) - AUC(second). Each replicate needs its own ranking, so rows are first counted per
-    (group, score) and the weighted counts are ranked per replicate."""
-    def per_replicate(score: str, name: str) -> DataFrame:
-        counts = df.groupBy(group, F.col(score).alias("score"), _target(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-        drawn = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        drawn = drawn.withColumn("__g", draw_seed(F.col(group), df.schema[group].dataType))
-        weighted = drawn.withColumn("w", poisson_weight(F.col("__g"), F.col("replicate"), F.lit(seed)) * F.col("n"))
-        return auc(weighted, ["replicate"], "y", "score", weight=F.col("w")).withColumnRenamed("auc", name)
-
-    both = per_replicate(first, "a").join(per_replicate(second, "b"), "replicate")
-    diffs = both.select((F.col("a") - F.col("b")).alias("difference"))
+    """The same interval for AUC(first) - AUC(second). Each replicate has its own ranking; no count is copied for a replicate, all replicates of
+    a range of scores are ranked where its counts are."""
+    a, b = (_replicate_aucs(df, group, score, target, replicates, seed).withColumnRenamed("auc", name) for score, name in ((first, "a"), (second, "b")))
+    diffs = a.join(b, "replicate").select((F.col("a") - F.col("b")).alias("difference"))
     return exact_quantiles(diffs, [], "difference", [alpha / 2, 0.5, 1 - alpha / 2], ["low", "median", "high"])
