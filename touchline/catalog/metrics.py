@@ -10,6 +10,7 @@ from touchline.catalog import sql as S
 from touchline.catalog.common import TEST_TOLERANCE, context, event_shots, located_shots, register, shots
 from touchline.functions.labels import pressure_state
 from touchline.operators import metrics as M
+from touchline.plans.staging import written
 from touchline.sources.projections import table
 
 
@@ -22,9 +23,9 @@ def _sliced(spark, folder):
     rows = located_shots(spark, folder).withColumns(
         {"pressure_state": pressure_state(F.col("under_pressure")), "score_diff_at_shot": F.col("l_linenumber") - 4}
     )
-    first = rows.withColumns({"model": F.lit("provider"), "prediction": F.col("xg")})
-    second = rows.withColumns({"model": F.lit("flat"), "prediction": F.round(F.col("xg") * 0.5 + 0.05, 4)})
-    return first.unionByName(second)
+    # both models' scores leave one scan of the joined shots
+    scores = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("prediction")) for m, p in (("provider", F.col("xg")), ("flat", F.round(F.col("xg") * 0.5 + 0.05, 4)))])
+    return rows.select("*", F.inline(scores))
 
 
 _NLL = "-(case when is_goal then ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, p))) " \
@@ -194,7 +195,7 @@ select (select brier from mm where model = 'provider' and slice = 'overall') - o
   (select max(ece) from mm where model = 'flat' and n >= 100) <= 0.08 as slice_ece_gate
 from mm o where model = 'flat' and slice = 'overall'"""))
 def gates(spark, folder):
-    metrics = M.slice_metrics(_sliced(spark, folder))
+    metrics = written(M.slice_metrics(_sliced(spark, folder)))  # a few rows that each gate reads
     flat = metrics.where("model = 'flat'")
     neutral = shots(spark, folder).agg(F.avg(F.col("xg") * 0.1).alias("mean_diff"))
     return M.acceptance_gates(
