@@ -18,18 +18,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def match_events(spark: SparkSession, folder: str) -> DataFrame:
+def _plain_events(spark: SparkSession, folder: str) -> DataFrame:
     k = "cast(get_json_object(props, '$.k') as int)"
-    base = table(spark, folder, "events").selectExpr(
-        "event_id", "user_id as match_id", f"{k} as k", "event_type", "value", "ts",
+    return table(spark, folder, "events").selectExpr(
+        "event_id", "user_id as match_id", f"{k} as k", "event_type", "value",
         "cast(timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 400 as int) as sec",
     )
+
+
+def match_events(spark: SparkSession, folder: str) -> DataFrame:
+    return _event_view(_plain_events(spark, folder))
+
+
+def _event_view(base: DataFrame, *more: str) -> DataFrame:
     return base.selectExpr(
         "event_id", "match_id", "k", "match_id * 2 + k % 2 as team_id", "match_id * 2 + 1 - k % 2 as opponent_team_id",
         "case event_type when 'click' then 'Pressure' when 'view' then 'Pass' when 'error' then 'Duel' "
         "when 'signup' then 'Carry' else 'Shot' end as type",
         "sec", "120 - value % 60 as x", "k * 0.8D as y", "value > 115 as is_goal", "(k + 1) / 120D as xg",
-        "event_id % 4 = 0 as under_pressure", "sec div 60 as minute", "sec % 60 as second", "sec div 120 as possession",
+        "event_id % 4 = 0 as under_pressure", "sec div 60 as minute", "sec % 60 as second", "sec div 120 as possession", *more,
     )
 
 
@@ -59,8 +66,10 @@ def order_shots(spark: SparkSession, folder: str) -> DataFrame:
 
 def flat_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Flat fields of the synthetic event documents, derived from the event view by arithmetic on ``k`` and the id."""
-    e = match_events(spark, folder)
-    flat = e.selectExpr(
+    # passes are the views but those that become receipts; only the few plain columns move to find the last one
+    passes = F.expr("if(event_type = 'view' and not coalesce(k % 8 = 7, false), event_id, null)")
+    linked = OrderedScan(_plain_events(spark, folder), ["match_id"], ["sec", "event_id"]).last_seen("last_pass", passes).result()
+    flat = _event_view(linked, "last_pass").selectExpr(
         "match_id", "event_id", "k", "team_id", "opponent_team_id", "sec", "minute", "second", "is_goal", "xg", "under_pressure",
         "case when type = 'Pressure' and k % 5 = 4 then 'Block' when type = 'Pass' and k % 8 = 7 then 'Ball Receipt*' "
         "when type = 'Duel' and k % 4 = 1 then 'Interception' when type = 'Duel' and k % 4 = 2 then 'Clearance' "
@@ -80,11 +89,9 @@ def flat_documents(spark: SparkSession, folder: str) -> DataFrame:
         "when 3 then 'Post' when 4 then 'Wayward' else 'Saved To Post' end end as shot_outcome",
         "case k % 4 when 0 then 'Head' when 2 then 'Left Foot' else 'Right Foot' end as body_part",
         "case k % 20 when 19 then 'Penalty' when 18 then 'Free Kick' else 'Open Play' end as shot_type",
-        "case k % 3 when 0 then 'Won' when 1 then 'Lost In Play' end as duel_outcome",
+        "case k % 3 when 0 then 'Won' when 1 then 'Lost In Play' end as duel_outcome", "last_pass",
     )
-    passes = F.when(F.col("type") == "Pass", F.col("event_id"))
-    linked = OrderedScan(flat, ["match_id"], ["sec", "event_id"]).last_seen("last_pass", passes).result()
-    return linked.withColumn(
+    return flat.withColumn(
         "key_pass_id",
         F.when((F.col("type") == "Shot") & (F.col("k") % 4 != 3), F.concat(F.lit("e"), F.col("last_pass").cast("string"))),
     ).drop("last_pass")
