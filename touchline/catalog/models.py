@@ -20,7 +20,7 @@ from touchline.operators import priors as R
 from touchline.operators.clusters import fit_clusters
 from touchline.plans import pipeline as PL
 from touchline.plans.context import modelling_dataset
-from touchline.plans.staging import shared_folder
+from touchline.plans.staging import shared_folder, written
 from touchline.sources.projections import table
 from touchline.streaming.live import LiveScorer
 
@@ -221,7 +221,7 @@ def isotonic_calibration(spark, folder):
 
 @register("boosted_scores")
 def boosted_scores(spark, folder):
-    rows = located_shots(spark, folder).select("shot_id", "is_goal", "shot_distance", "shot_angle", "xg")
+    rows = written(located_shots(spark, folder).select("shot_id", "is_goal", "shot_distance", "shot_angle", "xg"))
     model = MD.fit_boosted(rows, ["shot_distance", "shot_angle", "xg"])
     return MD.score_boosted(model, rows).select("shot_id", "boosted")
 
