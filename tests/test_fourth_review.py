@@ -101,3 +101,40 @@ def test_events_move_as_plain_columns(spark):
 
 def test_boosted_rows_are_joined_once(spark):
     assert "Join" not in plan(CX.boosted_scores(spark, SMALL))
+
+
+def test_windows_cover_whole_texts():
+    from touchline.llm import pii
+
+    for window, stride in ((pii.WINDOW, pii.STRIDE), (pii.LONG, pii.LONG_STRIDE)):
+        for n in (0, 1, window - 1, window, window + 1, 5 * window + 7):
+            covered = {k for at in pii.window_starts("x" * n, window, stride) for k in range(at, min(at + window, n))}
+            assert covered == set(range(n))
+    kinds = pii.window_kinds("x" * 200 + "7" + "x" * 200, [("card", 300, 310)], len(pii.window_starts("x" * 401)))
+    assert kinds.tolist() == [
+        2 if at < 310 and at + pii.WINDOW > 300 else 1 if at <= 200 < at + pii.WINDOW else 0 for at in pii.window_starts("x" * 401)
+    ]
+
+
+def test_network_reads_text_without_digits():
+    from touchline.llm import pii
+
+    tagger = pii.Tagger(seed=3)
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 98, (6, 2 * pii.WINDOW)).astype(np.uint8)
+    slow = tagger.scores(ids)[0]
+    assert np.allclose(tagger.emissions(ids), slow, atol=1e-4)
+    # a network that is sure of "outside" leaves no row open; one that calls every q an email finds it in plain text
+    rows, tags, _ = tagger.decode_open(ids)
+    every = tagger.decode(ids)[0]
+    assert (tags == every[rows]).all() and not np.delete(every, rows, axis=0).any()
+    tagger.p["out_b"][0] = 50
+    assert len(tagger.decode_open(ids)[0]) == 0
+    for k in tagger.p:
+        tagger.p[k] = np.zeros_like(tagger.p[k])
+    q = pii.char_ids("q")[0]
+    tagger.p["emb"][q, 0], tagger.p["fx"][0, 0], tagger.p["fx"][0, 60], tagger.p["fx"][0, 40], tagger.p["fb"][20:40] = 1, 50, 50, 50, -50
+    tagger.p["out"][0, 2], tagger.p["out_b"][0] = 80, 20
+    text = "word " * 200 + "qqqqqqqqqqqq" + " word" * 200
+    (base, every), = pii.Finder(tagger)([text])
+    assert base == [] and every == [("email", 1000, 1012)]
