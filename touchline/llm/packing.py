@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.llm.shared import written
-from touchline.llm.tokens import Encoder, read_tokenizer
+from touchline.llm.tokens import read_tokenizer, shared_encoder
 
 MOST = 2048
 #: pieces of one length that one task ranks at once
@@ -38,12 +39,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     rows = docs.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+        encode = shared_encoder(shared.value)
+        for batch in batches:
+            found = encode.each(batch.column(1))
+            for at in range(0, batch.num_rows, 512):
                 who, piece, length, out = [], [], [], []
-                for i, ids in enumerate(encode(batch.column(1).to_pylist())):
+                for i, ids in enumerate(islice(found, 512), at):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, a in enumerate(range(0, len(ids), most)):
                         part = ids[a : a + most]

@@ -33,8 +33,6 @@ SHARD_IDS = 1 << 19
 BASE = 1 << 17
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 4096, 12
 TABLE = 1 << 18
-#: words of each kind that a worker process remembers, and as many older ones
-REMEMBERED = 300_000
 _MAGIC = b"RPG1"
 
 
@@ -163,7 +161,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     keys_type = T.ArrayType(rows.schema["k"].dataType)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, number = shared_encoder(shared.value, REMEMBERED), TaskContext.get().partitionId(), 0
+        encode, part, number = shared_encoder(shared.value), TaskContext.get().partitionId(), 0
         keys, held, total = [], [], 0
 
         def shard():
@@ -172,16 +170,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
                 names=["part", "shard", "ids", "keys", "blob"],
             )
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                    keys.append(k)
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    total += len(held[-1])
-                    if total >= SHARD_IDS:
-                        yield shard()
-                        keys, held, total, number = [], [], 0, number + 1
+        for batch in batches:
+            for k, ids in zip(batch.column(0).to_pylist(), encode.each(batch.column(1)), strict=True):
+                keys.append(k)
+                held.append(np.append(ids, np.uint32(end_id)))
+                total += len(held[-1])
+                if total >= SHARD_IDS:
+                    yield shard()
+                    keys, held, total, number = [], [], 0, number + 1
         if held:
             yield shard()
 
