@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that are looked at together, and words that are merged side by side
-TOGETHER, SIDE_BY_SIDE = 8 << 20, 20_000
+TOGETHER, SIDE_BY_SIDE = 4 << 20, 20_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -78,14 +78,15 @@ class Merger:
     def __call__(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids in turn of the words that begin at places of ``data``, and how many each word has. Words have one byte at least and
         ``PLACES`` at most."""
-        order = np.argsort(sizes, kind="stable")
-        table, counts = np.full((len(sizes), int(sizes.max(initial=0))), -1, np.int32), np.empty(len(sizes), np.int64)
+        order, parts, counts = np.argsort(sizes, kind="stable"), [np.empty(0, np.int32)], np.zeros(len(sizes), np.int64)
         for at in range(0, len(order), SIDE_BY_SIDE):
             some = order[at : at + SIDE_BY_SIDE]
-            symbols = self._merged(data, begins[some], sizes[some])
-            table[some, : len(symbols)] = symbols.T
-            counts[some] = (symbols >= 0).sum(axis=0)
-        return table[table >= 0].astype(np.uint32), counts
+            symbols = self._merged(data, begins[some], sizes[some]).T
+            parts.append(symbols[symbols >= 0])
+            counts[some] = (symbols >= 0).sum(axis=1)
+        out = np.empty(int(counts.sum()), np.uint32)
+        out[_runs((np.cumsum(counts) - counts)[order], counts[order])] = np.concatenate(parts)
+        return out, counts
 
     def _merged(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Symbols by place and word, -1 where a merge or the word's end left none."""
