@@ -31,6 +31,7 @@ from touchline.llm.tokens import read_tokenizer, shared_encoder
 MOST = 2048
 #: pieces of one length that one task ranks at once
 RANKED = 100_000
+STEPS = "length bigint, _steps array<struct<rank: bigint, sequence: bigint, each: bigint, offset: bigint>>"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", most: int = MOST, end_id: int = 0) -> DataFrame:
@@ -130,30 +131,20 @@ def packed_pieces(pieces: DataFrame, key: str = "doc_id", most: int = MOST) -> D
     pieces = written(pieces)
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit(counts, most)
-    table = np.array([plan.length, plan.rank, plan.sequence, plan.each, plan.offset], np.int64).reshape(5, -1)
-    order = np.lexsort((table[1], table[0]))
-    shared = pieces.sparkSession.sparkContext.broadcast(table[:, order])
+    steps: dict[int, list[tuple[int, ...]]] = {}
+    for length, *step in zip(plan.length, plan.rank, plan.sequence, plan.each, plan.offset, strict=True):
+        steps.setdefault(length, []).append(tuple(step))
+    table = pieces.sparkSession.createDataFrame([(length, sorted(some)) for length, some in steps.items()], STEPS)
     rows = ranked(pieces, [key, "piece"])
     names = [c for c in rows.columns if c != "rank"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, rank, sequence, each, offset = shared.value
-        firsts = np.searchsorted(length, np.arange(most + 2))
-        for batch in batches:
-            n, r = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            low, high = firsts[n].copy(), firsts[n + 1].copy()
-            while (open_ := high - low > 1).any():  # the last decision of the length that starts at this rank or before
-                middle = (low + high) // 2
-                right = open_ & (rank[np.minimum(middle, len(rank) - 1)] <= r)
-                low, high = np.where(right, middle, low), np.where(open_ & ~right, middle, high)
-            k = r - rank[low]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(sequence[low] + k // each[low]), pa.array(offset[low] + k % each[low] * n)],
-                names=[*names, "sequence_id", "offset"],
-            )
-
-    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return rows.mapInArrow(work, schema)
+    # rows keep their ids where they are: the last decision of the length that starts at this rank or before is found inside the row
+    rows = rows.join(F.broadcast(table), "length")
+    rows = rows.withColumn("_step", F.element_at(F.filter("_steps", lambda s: s["rank"] <= F.col("rank")), -1)).withColumn("_k", F.col("rank") - F.col("_step.rank"))
+    each = F.col("_step.each")
+    return rows.select(
+        *names, (F.col("_step.sequence") + F.floor(F.col("_k") / each)).cast("long").alias("sequence_id"),
+        (F.col("_step.offset") + F.col("_k") % each * F.col("length")).cast("long").alias("offset"),
+    )
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", most: int = MOST, end_id: int = 0) -> DataFrame:
