@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that are looked at together, and words that are merged side by side
-TOGETHER, SIDE_BY_SIDE = 4 << 20, 20_000
+TOGETHER, SIDE_BY_SIDE = 1 << 20, 20_000
 
 
 def _byte_letters() -> dict[int, str]:
