@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from touchline import config as C
 from touchline.functions.labels import bucket_key
 from touchline.operators.blocks import DEFAULT_POLICY, OrderedScan, SplitDecision, SplitPolicy
+from touchline.operators.boosted import BoostedTrees
+from touchline.operators.boosted import fit as boosted_trees
 from touchline.operators.clusters import fit_clusters
 from touchline.operators.isotonic import Isotonic
 from touchline.operators.isotonic import fit_isotonic as isotonic_steps
@@ -298,9 +300,12 @@ def apply_isotonic(model: Isotonic, df: DataFrame, prediction: str, output: str
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], target: str = "is_goal", rounds: int = 20, depth: int = 5,
-                step: float = 0.05, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted trees as an alternative learner."""
+                step: float = 0.05, seed: int = 42) -> BoostedTrees | PipelineModel:
+    """Gradient-boosted trees as an alternative learner: on counted cells, or on the rows where features have too many bins together."""
     rows = df.select(F.col(target).cast("double").alias("__label"), *[F.col(f).cast("double").alias(f) for f in features])
+    model = boosted_trees(rows, features, "__label", rounds, depth, step, seed)
+    if model:
+        return model
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip"),
         GBTClassifier(featuresCol="__features", labelCol="__label", predictionCol="__class", maxIter=rounds,
@@ -310,7 +315,9 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str = "is_goal",
     return Pipeline(stages=stages).fit(rows)
 
 
-def score_boosted(model: PipelineModel, df: DataFrame, output: str = "boosted") -> DataFrame:
+def score_boosted(model: BoostedTrees | PipelineModel, df: DataFrame, output: str = "boosted") -> DataFrame:
+    if isinstance(model, BoostedTrees):
+        return model.score(df, output)
     return model.transform(df).select(*df.columns, vector_to_array("__probability")[1].alias(output))
 
 
